@@ -6,7 +6,8 @@ coordinate k. Documents with equal sets become one class. Classes that share a b
 
 No bucket emits all its pairs. Its smallest member is tested against every other first; members that this links, or
 that other buckets link, are one component. Only where a bucket still holds several components are further pairs tested:
-the next pivot is the smallest member outside the first component, then the pairs that still cross components.
+the next pivot is the smallest member outside the first component, then those pairs that still cross components and
+that the shingles which only one of these sets has do not rule out.
 Every test is preceded by an exact bound on the sizes and by the count of equal coordinates, which a pair at the
 threshold misses with a probability below 1e-8.
 
@@ -137,6 +138,16 @@ def _verify(width: int):
     return run
 
 
+def _explode(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.tables(batches, 1 << 20):
+            sets = [shingles(t, width) for t in common.as_bytes(b.column(1))]
+            ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64) if sets else ids)], ["id", "shingle"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_links): links hold if 100 * shared >= percent * union."""
     spark = docs.sparkSession
@@ -166,6 +177,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         common.dropped(needed)
         return out
 
+    def own_shingles(ids: DataFrame) -> DataFrame:
+        """(id, n, own): the shingles of each set, and how many of them no other of these sets has. Of two sets the
+        intersection has no own shingle and the union has all, which bounds their similarity from above."""
+        ids = common.stored(ids, "ids")
+        few = ids.count() <= BROADCAST_IDS
+        some = texts.join((F.broadcast(ids) if few else ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        each = some.mapInArrow(_explode(width), "id long, shingle long")
+        own = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("top")).where("id = top").groupBy("id").agg(F.count("*").alias("own"))
+        return common.stored(narrow.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")), "own")
+
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
@@ -180,8 +201,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             break
         named = common.stored(named.join(mixed, "bucket"), "named")
         if last:
-            other = named.select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"))
-            pairs = named.join(other, "bucket").where("a < id AND label <> label_a")
+            named = common.stored(named.join(own_shingles(named.select("id").distinct()), "id"), "named")
+            other = named.select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
+            most, least = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")), F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))
+            pairs = named.join(other, "bucket").where((F.col("a") < F.col("id")) & (F.col("label") != F.col("label_a")) & (most * 100 >= least * percent))
         else:
             pivots = common.stored(named.where("label > lo").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("p")).select("bucket", F.col("p.id").alias("a"), F.col("p.label").alias("label_a")), "pivots")
             pairs = named.join(pivots, "bucket").where("id <> a AND label <> label_a")
