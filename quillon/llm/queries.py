@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, lattice_lm, minhash, packing, sharding, sstable, toxicity
+from . import common, exact_dedup, lattice_lm, minhash, packing, semantic_search, sharding, sstable, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,6 +34,10 @@ def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), 1024, with_ids=False).drop("ids")
 
 
+def op5_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("n_links")
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lattice_lm": op2_lattice_lm,
     "op4_concat_and_cut": op4_concat_and_cut,
+    "op5_latent_search": op5_latent_search,
     "op7_circulant_minhash": op7_circulant_minhash,
     "op8_digest_index": op8_digest_index,
     "op9_lookup_table": op9_lookup_table,
