@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, lattice_lm, minhash, packing, semantic_search, sharding, sstable, toxicity
+from . import common, exact_dedup, lattice_lm, minhash, packing, semantic_search, sharding, sstable, toxicity, url_filter, warc_zip
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -30,6 +30,11 @@ def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_zip.write(table(spark, sf_dir, "pages"), common.new_path(spark, "wacz"))
+    return warc_zip.read(packages, with_payload=False).drop("payload", "url")
+
+
 def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), 1024, with_ids=False).drop("ids")
 
@@ -38,6 +43,14 @@ def op5_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Verdict, host and path of each rule.
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("n_links")
 
@@ -60,8 +73,10 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_lattice_lm": op2_lattice_lm,
+    "op3_warc_zip": op3_warc_zip,
     "op4_concat_and_cut": op4_concat_and_cut,
     "op5_latent_search": op5_latent_search,
+    "op6_path_templates": op6_path_templates,
     "op7_circulant_minhash": op7_circulant_minhash,
     "op8_digest_index": op8_digest_index,
     "op9_lookup_table": op9_lookup_table,
