@@ -84,10 +84,10 @@ def line_table(spans: DataFrame) -> DataFrame:
     """A row per line: box, text, size, weight and kind of most of its characters."""
     parts = F.sort_array(F.collect_list(F.struct("order", "text")))
     return spans.groupBy("doc_id", "page", "line_id").agg(
-        F.min("order").alias("order"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
-        _weighted_mode(font_size(F.col("size")), "size"), F.bool_and(has_flag(F.col("flags"), BOLD)).alias("bold"),
-    )
+        F.min("order").alias("first"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("line"),
+        _weighted_mode(font_size(F.col("size")), "main_size"), F.bool_and(has_flag(F.col("flags"), BOLD)).alias("bold"),
+    ).withColumnsRenamed({"first": "order", "line": "text", "main_size": "size"})
 
 
 def line_spacing(rows: DataFrame) -> DataFrame:
