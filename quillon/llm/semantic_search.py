@@ -29,15 +29,18 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STEP = 32, 16
-DIMENSIONS, SKETCH, KEPT = 1 << 14, 96, 80
-COSINE, COVERAGE = 0.4, 0.45
+DIMENSIONS, SKETCH, KEPT = 1 << 14, 64, 56
+#: The first vector is the mean of all texts and tells passages apart least; it is left out of cosines.
+COMMON = 1
+COSINE, COVERAGE, LEAST = 0.35, 0.55, 0.3
 FULL, PART, ANSWER_WORDS, ANSWER = 0.85, 0.6, 5, 0.6
-ITEMS_A_PASS = 2048
+ITEMS_A_PASS = 512
 _TABLE = bytes(32 if chr(b) in " \t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ROWS = 64
 
 
 def words_of(text: bytes) -> list[bytes]:
+    text = text if text.isascii() else text.decode(errors="replace").lower().encode()
     return text.translate(_TABLE).split()
 
 
@@ -80,6 +83,25 @@ def _steps(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[doc] + at * STEP, np.append(doc[1:] == doc[:-1], False)
 
 
+def _grid(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashed words of each step, a row each, filled with DIMENSIONS."""
+    pos = at[:, None] + np.arange(STEP)
+    inside = pos < np.append(at[1:], len(w))[:, None]
+    return np.where(inside, (w & np.uint32(DIMENSIONS - 1)).astype(np.int32)[np.minimum(pos, len(w) - 1)], DIMENSIONS)
+
+
+def _padded(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, *table.shape[1:]), np.float32)]).astype(np.float32)
+
+
+def _sums(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Sums of the rows of a padded table over each step's words."""
+    out = table[grid[:, 0]]
+    for j in range(1, STEP):
+        out += table[grid[:, j]]
+    return out
+
+
 def _passages(rows: np.ndarray, follows: np.ndarray) -> np.ndarray:
     """Sums over passages (a step and its next) from sums over steps."""
     out = rows.copy()
@@ -91,10 +113,11 @@ def _frequencies():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(DIMENSIONS, np.int64), 0
         for w, starts in _documents(batches):
-            at, follows = _steps(starts, len(w))
-            step = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w)))).astype(np.int64)
-            pairs = np.unique(step * DIMENSIONS + (w & np.uint32(DIMENSIONS - 1)))
-            total += np.bincount(pairs % DIMENSIONS, minlength=DIMENSIONS)
+            at, _ = _steps(starts, len(w))
+            grid = np.sort(_grid(w, at), axis=1)
+            first = np.ones(grid.shape, bool)
+            first[:, 1:] = grid[:, 1:] != grid[:, :-1]
+            total += np.bincount(grid[first], minlength=DIMENSIONS + 1)[:DIMENSIONS]
             passages += len(at)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMENSIONS, dtype=np.int32)), pa.array(np.append(passages, total))], ["w", "n"])
 
@@ -106,24 +129,23 @@ def _project(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, omega = shared.value
-        weighted = (omega * idf[:, None]).astype(np.float32)
-        z, gram = np.zeros((DIMENSIONS, SKETCH), np.float32), np.zeros((SKETCH, SKETCH))
+        weighted, squares, own = _padded(omega * idf[:, None]), _padded(idf**2), _padded(idf)
+        z, gram = np.zeros((DIMENSIONS + 1) * SKETCH), np.zeros((SKETCH, SKETCH))
         any_rows = False
         for w, starts in _documents(batches):
             any_rows = True
-            w = (w & np.uint32(DIMENSIONS - 1)).astype(np.int64)
             at, follows = _steps(starts, len(w))
-            norm = np.sqrt(_passages(np.add.reduceat(idf[w] ** 2, at), follows))
-            y = _passages(np.add.reduceat(weighted[w], at, axis=0), follows) / np.maximum(norm, 1e-6)[:, None]
+            grid = _grid(w, at)
+            norm = np.maximum(np.sqrt(_passages(_sums(squares, grid), follows)), 1e-6)[:, None]
+            y = _passages(_sums(weighted, grid), follows) / norm
             gram += y.T @ y
-            y /= np.maximum(norm, 1e-6)[:, None]
+            y /= norm
             back = y.copy()
             back[1:][follows[:-1]] += y[:-1][follows[:-1]]
-            order = np.argsort(w, kind="stable")
-            step = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))
-            own = w[order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            z[own[first]] += np.add.reduceat(back[step[order]], first, axis=0) * idf[own[first]][:, None]
+            flat = grid.reshape(-1)
+            parts = back[:, None, :] * own[grid][:, :, None]
+            z += np.bincount((flat[:, None] * SKETCH + np.arange(SKETCH, dtype=np.int32)).ravel(), weights=parts.ravel(), minlength=len(z))
+        z = z.astype(np.float32).reshape(-1, SKETCH)[:DIMENSIONS]
         if any_rows:
             task = TaskContext.get().partitionId()
             n = DIMENSIONS // _ROWS
@@ -150,7 +172,7 @@ def decompose(z: np.ndarray, gram: np.ndarray, k: int = KEPT) -> tuple[np.ndarra
         return np.zeros((len(z), 1)), np.zeros(1)
     f = z @ (u[:, good] / np.sqrt(s[good]))
     v, sigma, _ = np.linalg.svd(f, full_matrices=False)
-    return v[:, :k], sigma[:k]
+    return v[:, COMMON if v.shape[1] > COMMON else 0 : k], sigma[:k]
 
 
 def lcs(a: list | np.ndarray, b: list | np.ndarray) -> int:
@@ -170,16 +192,17 @@ def lcs(a: list | np.ndarray, b: list | np.ndarray) -> int:
 
 class Searcher:
     def __init__(self, idf: np.ndarray, v: np.ndarray, items: list[tuple[int, np.ndarray]]):
-        self.idf = idf.astype(np.float32)
-        self.weighted = (v * idf[:, None]).astype(np.float32)
         self.items = items
-        self.vectors = np.stack([self._unit(self.weighted[w & np.uint32(DIMENSIONS - 1)].sum(0, keepdims=True))[0] for _, w in items])
-        self.member = np.zeros((len(items), DIMENSIONS), bool)
+        self.latent = _padded(v * idf[:, None])
+        self.weight = _padded(idf)
+        self.vectors = np.stack([self._unit(self.latent[w & np.uint32(DIMENSIONS - 1)].sum(0, keepdims=True))[0] for _, w in items])
+        shared = np.zeros((DIMENSIONS, len(items)), np.float32)
         self.mass = np.zeros(len(items), np.float32)
         for i, (_, w) in enumerate(items):
             d = np.unique(w & np.uint32(DIMENSIONS - 1))
-            self.member[i, d] = True
-            self.mass[i] = self.idf[d].sum()
+            shared[d, i] = idf[d]
+            self.mass[i] = idf[d].sum()
+        self.shared = _padded(shared)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -187,25 +210,17 @@ class Searcher:
 
     def candidates(self, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word offset of a passage, item) pairs whose cosine and shared weight suffice."""
-        d = (w & np.uint32(DIMENSIONS - 1)).astype(np.int64)
         at, follows = _steps(starts, len(w))
-        x = self._unit(_passages(np.add.reduceat(self.weighted[d], at, axis=0), follows))
-        p, j = np.nonzero(x @ self.vectors.T >= COSINE)
-        if not len(p):
-            return at[p], j
-        end = np.where(follows, np.minimum(at + WINDOW, len(w)), np.append(at[1:], len(w)))
-        end = np.minimum(end, np.append(starts[1:], len(w))[np.searchsorted(starts, at, "right") - 1])
-        keep = []
-        for i in range(0, len(p), 50_000):
-            q, item = p[i : i + 50_000], j[i : i + 50_000]
-            pos = at[q][:, None] + np.arange(WINDOW)
-            inside = pos < end[q][:, None]
-            own = d[np.minimum(pos, len(d) - 1)]
-            weight = np.where(inside, self.idf[own], 0)
-            shared = np.where(self.member[item[:, None], own], weight, 0).sum(1)
-            keep.append(shared >= COVERAGE * np.minimum(weight.sum(1), self.mass[item]))
-        keep = np.concatenate(keep)
-        return at[p[keep]], j[keep]
+        grid = _grid(w, at)
+        x = self._unit(_passages(_sums(self.latent, grid), follows))
+        own = _passages(_sums(self.weight, grid), follows)
+        hit = x @ self.vectors.T >= COSINE
+        near = np.flatnonzero(hit.any(1))
+        if not len(near):
+            return at[near], near
+        shared = _passages(_sums(self.shared, grid), follows)
+        p, j = np.nonzero(hit & (shared >= np.maximum(COVERAGE * np.minimum(own[:, None], self.mass[None]), LEAST * self.mass[None])))
+        return at[p], j
 
     def judge(self, w: np.ndarray, offsets: list[int], item: int) -> float:
         """The largest share of the item found near the offsets, or 0 if it is no leak."""
