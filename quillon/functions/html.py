@@ -73,7 +73,8 @@ def _tree(text: str) -> _Node:
 def _raw(n: _Node | str) -> str:
     if isinstance(n, str):
         return html.escape(n, quote=False)
-    keep = "".join(f' {k}="{n.attrs[k]}"' for k in ("rowspan", "colspan", *KEPT_ATTRIBUTES.get(n.tag, ())) if k in n.attrs and k in dict.fromkeys(("rowspan", "colspan", *KEPT_ATTRIBUTES.get(n.tag, ()))))
+    names = dict.fromkeys(("rowspan", "colspan", *KEPT_ATTRIBUTES.get(n.tag, ())))
+    keep = "".join(f' {k}="{n.attrs[k]}"' for k in names if k in n.attrs)
     return f"<{n.tag}{keep}>" + "".join(map(_raw, n.kids)) + ("" if n.tag in VOID else f"</{n.tag}>")
 
 

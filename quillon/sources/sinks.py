@@ -51,7 +51,7 @@ def envelope_parts(chunks: DataFrame) -> DataFrame:
 def envelope_json(envelope: Column, parts: Column) -> Column:
     """The envelope with its parts replaced, in snake case."""
     names = {"@type": "type", "@context": "context", "identifier": "identifier", "name": "name", "url": "url", "fileFormat": "file_format", "dateCreated": "date_created", "dateModified": "date_modified", "keywords": "keywords"}
-    return F.to_json(F.struct(*(envelope[f"`{k}`" if "@" in k else k].alias(v) for k, v in names.items()), parts.alias("has_part")), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*(envelope[k].alias(v) for k, v in names.items()), parts.alias("has_part")), {"ignoreNullFields": "false"})
 
 
 def tree_json(tree: DataFrame, max_level: int = 6) -> DataFrame:
