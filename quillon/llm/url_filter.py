@@ -91,7 +91,9 @@ def templates(urls: DataFrame) -> DataFrame:
         known = (F.col("b") + F.col("a") > 0) | (F.col("nb") + F.col("na") == 0)
         rare = (F.col("kids") >= FAN_OUT) & (F.col("n") < RARE * F.col("nn"))
         alike = (F.col("kids") > 1) & (unlike <= ALIKE) & (labels <= ALIKE) & known
-        merged = common.stored(per.join(node, ["host", "template"]).where(rare | alike).select("host", "template", "seg", F.lit("*").alias("merged")), "merged")
+        found = common.stored(per.join(node, ["host", "template"]).where(rare | alike).select("host", "template", "seg", rare.alias("rare")), "alike")
+        groups = common.stored(found.groupBy("host", "template").agg((F.count("*") > 1).alias("several")), "groups")  # one branch has nothing to merge with
+        merged = found.join(groups, ["host", "template"]).where("rare OR several").select("host", "template", "seg", F.lit("*").alias("merged"))
         here = here.join(merged, ["host", "template", "seg"], "left")
         here = here.withColumn("parent", F.col("template")).withColumn("template", F.concat("template", F.lit("/"), F.coalesce("wild", "merged", "seg")))
         rows = common.stored(here.select(*rows.columns).unionByName(rows.where(F.size("segs") <= d)), "paths")
