@@ -4,8 +4,8 @@ A document's set is its distinct shingles of WIDTH words (fewer words: the whole
 two permutations of the 32-bit numbers: one shuffles the shingles' hashes, the other, shifted circularly by k, gives
 coordinate k. Documents with equal sets become one class. Classes that share a band meet in its bucket.
 
-No bucket emits all its pairs. Its smallest member is tested against every other first; members that this links, or
-that other buckets link, are one component. Only where a bucket still holds several components are further pairs tested:
+No bucket emits all its pairs. In the buckets of the first bands the smallest member is tested against every other;
+members that this links are one component. Only where a bucket still holds several components are further pairs tested:
 the next pivot is the smallest member outside the first component, then those pairs that still cross components and
 that the shingles which only one of these sets has do not rule out.
 Every test is preceded by an exact bound on the sizes and by the count of equal coordinates, which a pair at the
@@ -31,6 +31,8 @@ from . import common
 WIDTH = 5
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
+#: Bands whose buckets are tested against their smallest member first; most others then hold one component already.
+FIRST_BANDS = 4
 #: Ids that may be broadcast to fetch texts (a few MB); beyond it, ids and texts meet by a shuffle.
 BROADCAST_IDS = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -160,7 +162,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = F.min(F.struct("doc_id", "n_shingles", "sig", "buckets")).alias("m")
     classes = common.stored(known.groupBy("set_key").agg(first, F.count("*").alias("copies")).select("set_key", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"), F.col("m.buckets").alias("buckets")), "classes")
     narrow = classes.select("id", "n", "sig")
-    members = classes.select("id", F.explode("buckets").alias("bucket"))
+    members = classes.select("id", F.posexplode("buckets").alias("band", "bucket"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The (a, b) that are links, of the pairs."""
@@ -190,8 +192,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
-    pivots = common.stored(members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "pivots")
-    done = common.stored(ordered(members.join(pivots, "bucket").where("id <> a")), "done")
+    begin = members.where(F.col("band") < FIRST_BANDS).select("id", "bucket")
+    members = members.select("id", "bucket")
+    pivots = common.stored(begin.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "pivots")
+    done = common.stored(ordered(begin.join(pivots, "bucket").where("id <> a")), "done")
     links = linked(done)
     labels = common.components(links)
     for last in (False, True):
