@@ -8,8 +8,9 @@ No bucket emits all its pairs. In the buckets of the first bands the smallest me
 members that this links are one component. Only where a bucket still holds several components are further pairs tested:
 the next pivot is the smallest member outside the first component, then those pairs that still cross components and
 that the shingles which only one of these sets has do not rule out.
-Every test is preceded by an exact bound on the sizes and by the count of equal coordinates, which a pair at the
-threshold misses with a probability below 1e-8.
+Every test is preceded by exact bounds on the sizes and on the symmetric difference, and by the count of equal
+coordinates, which a pair at the threshold misses with a probability below 1e-8. The symmetric difference has at least
+one shingle in each of CELLS cells where the parities of two sets differ; for short texts this is nearly its size.
 
 Defined results: null and empty texts have no shingles, link with nothing and stay; repeated rows are one class; of a
 component the smallest doc_id stays (every row that carries it); rows with a null doc_id take no part and are returned
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,6 +32,8 @@ from . import common
 WIDTH = 5
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
+#: Cells of a set's parities, 64 to a long; a power of two.
+CELLS = 1024
 #: Bands whose buckets are tested against their smallest member first; most others then hold one component already.
 FIRST_BANDS = 4
 #: Ids that may be broadcast to fetch texts (a few MB); beyond it, ids and texts meet by a shuffle.
@@ -81,10 +84,23 @@ def signature(sh: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return out
 
 
+def parities(sh: np.ndarray) -> np.ndarray:
+    """A bit for each cell: whether an odd number of the shingles falls into it."""
+    odd = np.bincount((sh & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent: int) -> Column:
+    """False only for pairs below the threshold: of d shingles in one set alone, shared is (n_a + n_b - d) / 2 and
+    union (n_a + n_b + d) / 2, and d is at least the number of cells whose parities differ."""
+    apart = sum((F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(CELLS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.tables(batches):
-            n, keys, sigs, buckets = [], [], [], []
+            n, keys, sigs, buckets, bits = [], [], [], [], []
             for text in common.as_bytes(b.column(1)):
                 sh = shingles(text, width)
                 n.append(len(sh))
@@ -92,13 +108,15 @@ def _sketch(width: int, bands: int, rows: int):
                     keys.append(None)
                     sigs.append(None)
                     buckets.append(None)
+                    bits.append(None)
                     continue
+                bits.append(parities(sh))
                 keys.append(xxhash.xxh3_128_digest(sh.tobytes()))
                 sig = signature(sh, bands * rows)
                 sigs.append((sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
                 cut = sig.reshape(bands, rows)
                 buckets.append([xxhash.xxh3_64_intdigest(cut[i].tobytes(), seed=i) - (1 << 63) for i in range(bands)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "buckets", "bits"])
 
     return run
 
@@ -156,19 +174,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     common.arrow_rows(spark)
     t = percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    all_rows = common.stored(texts.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, set_key binary, sig binary, buckets array<long>"), "sketch")
+    all_rows = common.stored(texts.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, set_key binary, sig binary, buckets array<long>, bits array<long>"), "sketch")
     known = all_rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     total = known.count()
-    first = F.min(F.struct("doc_id", "n_shingles", "sig", "buckets")).alias("m")
-    classes = common.stored(known.groupBy("set_key").agg(first, F.count("*").alias("copies")).select("set_key", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"), F.col("m.buckets").alias("buckets")), "classes")
-    narrow = classes.select("id", "n", "sig")
+    first = F.min(F.struct("doc_id", "n_shingles", "sig", "buckets", "bits")).alias("m")
+    classes = common.stored(known.groupBy("set_key").agg(first, F.count("*").alias("copies")).select("set_key", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"), F.col("m.buckets").alias("buckets"), F.col("m.bits").alias("bits")), "classes")
+    narrow = classes.select("id", "n", "sig", "bits")
     members = classes.select("id", F.posexplode("buckets").alias("band", "bucket"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The (a, b) that are links, of the pairs."""
         for side in ("a", "b"):
-            pairs = pairs.join(narrow.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
-        pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "sig_a", "sig_b")
+            pairs = pairs.join(narrow.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        pairs = pairs.where(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)).select("a", "b", "sig_a", "sig_b")
         pairs = common.stored(pairs.mapInArrow(_alike(max(0.0, t - 0.26)), "a long, b long"), "pairs")
         ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
         few = ends.count() <= BROADCAST_IDS
@@ -180,14 +199,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         return out
 
     def own_shingles(ids: DataFrame) -> DataFrame:
-        """(id, n, own): the shingles of each set, and how many of them no other of these sets has. Of two sets the
+        """(id, n, bits, own): the shingles of each set, and how many of them no other of these sets has. Of two sets the
         intersection has no own shingle and the union has all, which bounds their similarity from above."""
         ids = common.stored(ids, "ids")
         few = ids.count() <= BROADCAST_IDS
         some = texts.join((F.broadcast(ids) if few else ids).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         each = some.mapInArrow(_explode(width), "id long, shingle long")
         own = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("top")).where("id = top").groupBy("id").agg(F.count("*").alias("own"))
-        return common.stored(narrow.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")), "own")
+        return common.stored(narrow.join(ids, "id", "left_semi").join(own, "id", "left").select("id", "n", "bits", F.coalesce("own", F.lit(0)).alias("own")), "own")
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
@@ -206,9 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         named = common.stored(named.join(mixed, "bucket"), "named")
         if last:
             named = common.stored(named.join(own_shingles(named.select("id").distinct()), "id"), "named")
-            other = named.select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
+            other = named.select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("own").alias("own_a"))
             most, least = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")), F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))
-            pairs = named.join(other, "bucket").where((F.col("a") < F.col("id")) & (F.col("label") != F.col("label_a")) & (most * 100 >= least * percent))
+            pairs = named.join(other, "bucket").where((F.col("a") < F.col("id")) & (F.col("label") != F.col("label_a")) & (most * 100 >= least * percent) & may_link(F.col("n_a"), F.col("bits_a"), F.col("n"), F.col("bits"), percent))
         else:
             pivots = common.stored(named.where("label > lo").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("p")).select("bucket", F.col("p.id").alias("a"), F.col("p.label").alias("label_a")), "pivots")
             pairs = named.join(pivots, "bucket").where("id <> a AND label <> label_a")

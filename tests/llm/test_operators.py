@@ -223,3 +223,18 @@ def test_components(spark):
     got = {r.node: r.label for r in common.components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 103: 100}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parities_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(60):
+        n = int(rng.integers(1, 3000))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[: int(len(x) * rng.uniform(0.7, 1)) or 1], rng.integers(0, 1 << 63, n // 20).astype(np.uint64))))
+        shared = len(np.intersect1d(x, y))
+        rows.append((i, len(x), minhash.parities(x).tolist(), len(y), minhash.parities(y).tolist(), 100 * shared >= 85 * (len(x) + len(y) - shared)))
+    df = spark.createDataFrame(rows, "i int, n_a long, bits_a array<long>, n_b long, bits_b array<long>, linked boolean")
+    got = df.select("linked", minhash.may_link(df.n_a, df.bits_a, df.n_b, df.bits_b, 85).alias("may")).collect()
+    assert any(r.linked for r in got) and any(not r.may for r in got)
+    assert all(r.may for r in got if r.linked)
