@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -265,7 +266,7 @@ def _search(shared):
                         share = s.judge(packed[d], offsets, i)
                         if share:
                             found[d][s.items[i][0]] = max(share, found[d].get(s.items[i][0], 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found], pa.float64())], ["doc_id", "item_ids", "share"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(ids, pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found], pa.float64())], ["row", "doc_id", "item_ids", "share"])
 
     return run
 
@@ -293,7 +294,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     sc = spark.sparkContext
     common.arrow_rows(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = common.stored(rows.mapInArrow(_tokenise(), "doc_id long, words binary"), "words")
+    words = common.stored(rows.mapInArrow(_tokenise(), "doc_id long, words binary").withColumn("row", F.monotonically_increasing_id()), "words")
     only = words.select("words")
     counts = np.zeros(DIMENSIONS + 1, np.int64)
     for r in only.mapInArrow(_frequencies(), "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():  # a row per dimension
@@ -311,26 +312,28 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         else:
             z[r["block"] * _ROWS : (r["block"] + 1) * _ROWS] = x
     v, _ = decompose(z, gram)
-    out = None
     asked = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").orderBy("i")
+    passes: list[DataFrame] = []
     block: list[tuple[int, np.ndarray]] = []
 
-    def one_pass() -> DataFrame:
-        got = words.mapInArrow(_search(sc.broadcast(Searcher(idf, v, block))), "doc_id long, item_ids array<long>, share double")
-        return got
+    def one_pass() -> None:
+        shared = sc.broadcast(Searcher(idf, v, block))  # ITEMS_A_PASS items at most
+        passes.append(words.mapInArrow(_search(shared), "row long, doc_id long, item_ids array<long>, share double"))
 
     for r in asked.toLocalIterator():  # the query set, a block at a time
         w = hashes(words_of(r["t"].encode()))
         if len(w):
             block.append((r["i"], w))
         if len(block) == ITEMS_A_PASS:
-            got = one_pass()
-            out, block = got if out is None else out.unionByName(got), []
+            one_pass()
+            block = []
     if block:
-        got = one_pass()
-        out = got if out is None else out.unionByName(got)
-        if len(block) < ITEMS_A_PASS and asked.count() > ITEMS_A_PASS:
-            out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"))
-    if out is None:
+        one_pass()
+    if not passes:
         out = words.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("share"))
+    elif len(passes) == 1:
+        out = passes[0].drop("row")
+    else:
+        found = reduce(DataFrame.unionByName, passes).groupBy("row", "doc_id")
+        out = found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share")).drop("row")
     return out.withColumn("contaminated", F.size("item_ids") > 0)

@@ -141,7 +141,7 @@ def test_toxicity_restores_and_separates(spark, none):
     assert toxicity.score(none, labels).count() == 0 and toxicity.score(d, labels.where("false")).where("predicted = 1").count() == 0
 
 
-def test_latent_search_finds_leaks(spark, docs, none):
+def test_latent_search_finds_leaks(spark, docs, none, monkeypatch):
     rng = np.random.default_rng(5)
     vocab = [f"t{x}" for x in range(3000)]
     item = lambda n: " ".join(rng.choice(vocab, n))
@@ -163,6 +163,9 @@ def test_latent_search_finds_leaks(spark, docs, none):
     b = spark.createDataFrame([*items, (90, None), (91, "")], "item_id long, text string")
     got = {r.doc_id: list(r.item_ids) for r in semantic_search.search(d, b).collect() if r.contaminated}
     assert got == want
+    monkeypatch.setattr(semantic_search, "ITEMS_A_PASS", 6)  # two full passes, with a repeated row
+    several = semantic_search.search(d.unionByName(d.where("doc_id = 0")), b)
+    assert several.count() == len(rows) + 3 and {r.doc_id: list(r.item_ids) for r in several.collect() if r.contaminated} == want
     assert semantic_search.search(none, b).count() == 0 and semantic_search.search(docs, b.where("false")).where("contaminated").count() == 0
     assert semantic_search.lcs("abcbdab", "bdcaba") == 4
 
