@@ -2,12 +2,15 @@
 
 Documents are cut into overlapping passages of WINDOW words. Passages are TF-IDF rows over hashed words, scaled to unit
 length. A randomised decomposition (one pass: A'A times a random matrix, then Nystroem's formula) gives the leading
-right singular vectors, onto which passages and benchmark items are projected. Passages whose cosine with an item
-reaches a threshold are candidates; those that share too little of its weighted words are dropped, and the rest are
-decided by the longest common subsequence of words, of the whole item and of its answer (its last words).
+right singular vectors, onto which passages and benchmark items (long ones in pieces) are projected. Candidates are
+passages whose cosine with a piece of an item reaches a threshold, and runs of steps as long as the item, each only if
+it holds as many words of the item as a leak needs. They are decided by the longest common subsequence of words, of the
+whole item and of its answer (its last words).
 
 A document is a leak of an item if the common subsequence has FULL of the item's words, or PART of them together with
-the answer. Every passage meets every item, in blocks of items, as items are a stated query set.
+the answer. Words in a common subsequence are words of both, so counting drops no leak: one within as many words as the
+item has is always a candidate, one that is spread wider if a passage of it is near in cosine. Every passage meets every
+item, in blocks of items, as items are a stated query set.
 
 Defined results: words are split at blanks and ASCII punctuation, in lower case; null and empty texts, and items without
 words, match nothing; items with equal words are all reported; repeated rows are judged alike; very long texts are
@@ -33,7 +36,9 @@ WINDOW, STEP = 32, 16
 DIMENSIONS, SKETCH, KEPT = 1 << 14, 64, 56
 #: The first vector is the mean of all texts and tells passages apart least; it is left out of cosines.
 COMMON = 1
-COSINE, COVERAGE, LEAST = 0.35, 0.55, 0.3
+COSINE = 0.35
+#: Words of an item that share one vector, at most.
+PIECE = 64
 FULL, PART, ANSWER_WORDS, ANSWER = 0.85, 0.6, 5, 0.6
 ITEMS_A_PASS = 512
 _TABLE = bytes(32 if chr(b) in " \t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -193,35 +198,76 @@ def lcs(a: list | np.ndarray, b: list | np.ndarray) -> int:
 
 class Searcher:
     def __init__(self, idf: np.ndarray, v: np.ndarray, items: list[tuple[int, np.ndarray]]):
-        self.items = items
+        self.items = sorted(items, key=lambda x: len(x[1]))
         self.latent = _padded(v * idf[:, None])
-        self.weight = _padded(idf)
-        self.vectors = np.stack([self._unit(self.latent[w & np.uint32(DIMENSIONS - 1)].sum(0, keepdims=True))[0] for _, w in items])
-        shared = np.zeros((DIMENSIONS, len(items)), np.float32)
-        self.mass = np.zeros(len(items), np.float32)
-        for i, (_, w) in enumerate(items):
-            d = np.unique(w & np.uint32(DIMENSIONS - 1))
-            shared[d, i] = idf[d]
-            self.mass[i] = idf[d].sum()
-        self.shared = _padded(shared)
+        most = max(len(w) for _, w in items)
+        #: Where a word is among the distinct words of an item, from 1; how often the item has each.
+        self.place = np.zeros((DIMENSIONS + 1, len(items)), np.uint16 if most < 1 << 16 else np.int32)
+        self.often = np.zeros((len(items), most + 1), np.int32)
+        vectors, self.first = [], []
+        for i, (_, w) in enumerate(self.items):
+            d = w & np.uint32(DIMENSIONS - 1)
+            distinct, often = np.unique(d, return_counts=True)
+            self.place[distinct, i] = np.arange(1, len(distinct) + 1)
+            self.often[i, 1 : len(distinct) + 1] = often
+            self.first.append(len(vectors))
+            vectors += [self._unit(self.latent[x].sum(0, keepdims=True))[0] for x in np.array_split(d, -(-len(d) // PIECE))]
+        self.vectors = np.stack(vectors)
+        self.member = (self.place > 0).astype(np.uint8)
+        n = np.array([len(w) for _, w in self.items])
+        #: Words that a leak shares at least; steps that as many words as the item has can touch; steps on either side of a judged passage.
+        self.need = np.ceil(PART * n - 1e-9).astype(np.int32)
+        self.run = -(-(n + STEP - 1) // STEP)
+        self.side = -(-n // STEP)
+        self.overlap = int(2 * self.side[-1] + 2) * STEP
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
+    def _enough(self, flat: np.ndarray, lo: np.ndarray, hi: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words from lo to hi have enough words of item j, each counted as often as the item has it."""
+        out = np.zeros(len(j), bool)
+        order = np.argsort(hi - lo, kind="stable")
+        i = 0
+        while i < len(order):
+            some = order[i : i + max(1, 400_000 // max(int((hi - lo)[order[min(i + 4_000, len(order)) - 1]]), 1))][:4_000]
+            i += len(some)
+            pos = lo[some][:, None] + np.arange(int((hi - lo)[some].max()))
+            words = np.where(pos < hi[some][:, None], flat[np.minimum(pos, len(flat) - 1)], DIMENSIONS)
+            k = int((self.often[j[some]] > 0).sum(1).max()) + 1
+            places = self.place[words, j[some][:, None]] + np.arange(len(some))[:, None] * k
+            counts = np.bincount(places.ravel(), minlength=len(some) * k).reshape(-1, k)
+            out[some] = np.minimum(counts, self.often[j[some], :k]).sum(1) >= self.need[j[some]]
+        return out
+
     def candidates(self, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word offset of a passage, item) pairs whose cosine and shared weight suffice."""
+        """(word offset of a passage or run, item) pairs with enough words of the item."""
         at, follows = _steps(starts, len(w))
         grid = _grid(w, at)
-        x = self._unit(_passages(_sums(self.latent, grid), follows))
-        own = _passages(_sums(self.weight, grid), follows)
-        hit = x @ self.vectors.T >= COSINE
-        near = np.flatnonzero(hit.any(1))
-        if not len(near):
-            return at[near], near
-        shared = _passages(_sums(self.shared, grid), follows)
-        p, j = np.nonzero(hit & (shared >= np.maximum(COVERAGE * np.minimum(own[:, None], self.mass[None]), LEAST * self.mass[None])))
-        return at[p], j
+        steps = np.arange(len(at))
+        ends = np.flatnonzero(~follows) + 1
+        doc = np.searchsorted(ends, steps, "right")
+        begin, end = np.append(0, ends)[doc], ends[doc]
+        total = np.zeros((len(at) + 1, len(self.items)), np.int32)
+        np.cumsum(_sums(self.member, grid), axis=0, dtype=np.int32, out=total[1:])
+        found = np.zeros((len(at), len(self.items)), bool)
+        for k in np.unique(self.run):
+            lo, hi = np.searchsorted(self.run, [k, k + 1])
+            t = total[:, lo:hi]
+            found[:, lo:hi] = t[np.minimum(steps + k, end)] - t[:-1] >= self.need[lo:hi]
+        cosine = self._unit(_passages(_sums(self.latent, grid), follows)) @ self.vectors.T
+        if len(self.first) < len(self.vectors):
+            cosine = np.maximum.reduceat(cosine, self.first, axis=1)
+        p, j = np.nonzero(found)
+        q, i = np.nonzero(cosine >= COSINE)
+        first, last = np.maximum(q - self.side[i], begin[q]), np.minimum(q + 2 + self.side[i], end[q])
+        wide = total[last, i] - total[first, i] >= self.need[i]
+        lo, hi = np.append(p, first[wide]), np.append(np.minimum(p + self.run[j], end[p]), last[wide])
+        p, j = np.append(p, q[wide]), np.append(j, i[wide])
+        bounds = np.append(at, len(w))
+        keep = self._enough((w & np.uint32(DIMENSIONS - 1)).astype(np.int32), bounds[lo], bounds[hi], j)
+        return at[p[keep]], j[keep]
 
     def judge(self, w: np.ndarray, offsets: list[int], item: int) -> float:
         """The largest share of the item found near the offsets, or 0 if it is no leak."""
@@ -255,7 +301,7 @@ def _search(shared):
                         take.append(at)
                         n += len(packed[at])
                     at += 1
-                for part, first, docs in _pieces(take, packed):
+                for part, first, docs in _pieces(take, packed, s.overlap):
                     where, item = s.candidates(part, first)
                     doc = np.searchsorted(first, where, "right") - 1
                     near: dict[tuple[int, int], list[int]] = {}
@@ -271,14 +317,14 @@ def _search(shared):
     return run
 
 
-def _pieces(take: list[int], packed: list[np.ndarray], words: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-    """Groups of documents, and long documents in pieces that overlap by a step, each with (document, offset)."""
+def _pieces(take: list[int], packed: list[np.ndarray], overlap: int, words: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """Groups of documents, and long documents in overlapping pieces, each with (document, offset)."""
     held: list[np.ndarray] = []
     docs: list[tuple[int, int]] = []
     n = 0
     for d in take:
         for i in range(0, len(packed[d]), words):
-            held.append(packed[d][i : i + words + STEP])
+            held.append(packed[d][i : i + words + overlap])
             docs.append((d, i))
             n += len(held[-1])
         if n >= words:

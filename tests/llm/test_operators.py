@@ -170,6 +170,16 @@ def test_latent_search_finds_leaks(spark, docs, none, monkeypatch):
     assert semantic_search.lcs("abcbdab", "bdcaba") == 4
 
 
+def test_latent_search_finds_long_items(spark):
+    rng = np.random.default_rng(8)
+    item = lambda n: rng.choice([f"t{x}" for x in range(3000)], n).tolist()
+    items = [item(n) for n in (100, 112, 149, 186, 224, 300, 500) for _ in range(3)]
+    rows = [(i, " ".join(item(50 + 5 * i) + w + item(60))) for i, w in enumerate(items)] + [(1000 + i, " ".join(item(300))) for i in range(40)]
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = semantic_search.search(spark.createDataFrame(rows, "doc_id long, text string"), b).where("contaminated").collect()
+    assert {r.doc_id: (list(r.item_ids), r.share) for r in got} == {i: ([i], 1.0) for i in range(len(items))}
+
+
 def test_warc_zip_round_trip(spark):
     rows = [(3, "http://a/\nx", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (None, "u", "same"), (7, "v", "é" * 9000), (7, "v", "é" * 9000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
