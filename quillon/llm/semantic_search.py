@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STEP = 32, 16
-DIMENSIONS, SKETCH, KEPT = 1 << 14, 64, 56
+DIMENSIONS, SKETCH, KEPT = 1 << 14, 96, 80
 #: The first vector is the mean of all texts and tells passages apart least; it is left out of cosines.
 COMMON = 1
 COSINE = 0.35
@@ -135,8 +135,8 @@ def _project(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, omega = shared.value
-        weighted, squares, own = _padded(omega * idf[:, None]), _padded(idf**2), _padded(idf)
-        z, gram = np.zeros((DIMENSIONS + 1) * SKETCH), np.zeros((SKETCH, SKETCH))
+        weighted, squares, own = _padded(omega * idf[:, None]), _padded(idf**2), np.append(idf, 0)
+        z, gram = np.zeros((SKETCH, DIMENSIONS + 1)), np.zeros((SKETCH, SKETCH))
         any_rows = False
         for w, starts in _documents(batches):
             any_rows = True
@@ -148,10 +148,10 @@ def _project(shared):
             y /= norm
             back = y.copy()
             back[1:][follows[:-1]] += y[:-1][follows[:-1]]
-            flat = grid.reshape(-1)
-            parts = back[:, None, :] * own[grid][:, :, None]
-            z += np.bincount((flat[:, None] * SKETCH + np.arange(SKETCH, dtype=np.int32)).ravel(), weights=parts.ravel(), minlength=len(z))
-        z = z.astype(np.float32).reshape(-1, SKETCH)[:DIMENSIONS]
+            flat = grid.reshape(-1).astype(np.intp)
+            for k in range(SKETCH):
+                z[k] += np.bincount(flat, np.repeat(back[:, k], STEP), DIMENSIONS + 1)
+        z = (z * own).T[:DIMENSIONS].astype(np.float32)
         if any_rows:
             task = TaskContext.get().partitionId()
             n = DIMENSIONS // _ROWS
@@ -200,25 +200,32 @@ class Searcher:
     def __init__(self, idf: np.ndarray, v: np.ndarray, items: list[tuple[int, np.ndarray]]):
         self.items = sorted(items, key=lambda x: len(x[1]))
         self.latent = _padded(v * idf[:, None])
+        n = np.array([len(w) for _, w in self.items])
+        #: Words that a leak shares at least; steps that as many words as the item has can touch; steps on either side of a judged passage.
+        self.need = np.ceil(PART * n - 1e-9).astype(np.int32)
+        self.run = -(-(n + STEP - 1) // STEP)
+        self.side = -(-n // STEP)
         most = max(len(w) for _, w in items)
         #: Where a word is among the distinct words of an item, from 1; how often the item has each.
         self.place = np.zeros((DIMENSIONS + 1, len(items)), np.uint16 if most < 1 << 16 else np.int32)
         self.often = np.zeros((len(items), most + 1), np.int32)
+        #: Words that a judged window has anyway count as shared; only the others are counted, and so many are needed.
+        self.rare, self.rare_need = np.zeros((DIMENSIONS + 1, len(items)), np.uint8), self.need.copy()
         vectors, self.first = [], []
         for i, (_, w) in enumerate(self.items):
             d = w & np.uint32(DIMENSIONS - 1)
             distinct, often = np.unique(d, return_counts=True)
             self.place[distinct, i] = np.arange(1, len(distinct) + 1)
             self.often[i, 1 : len(distinct) + 1] = often
+            expected = (2 * self.side[i] + 2) * np.exp(-idf[distinct])
+            order = np.argsort(often / expected)
+            common_words = order[(expected > often)[order] & (np.cumsum(often[order]) <= self.need[i] // 2)]
+            self.rare[distinct, i] = 1
+            self.rare[distinct[common_words], i] = 0
+            self.rare_need[i] -= often[common_words].sum()
             self.first.append(len(vectors))
             vectors += [self._unit(self.latent[x].sum(0, keepdims=True))[0] for x in np.array_split(d, -(-len(d) // PIECE))]
         self.vectors = np.stack(vectors)
-        self.member = (self.place > 0).astype(np.uint8)
-        n = np.array([len(w) for _, w in self.items])
-        #: Words that a leak shares at least; steps that as many words as the item has can touch; steps on either side of a judged passage.
-        self.need = np.ceil(PART * n - 1e-9).astype(np.int32)
-        self.run = -(-(n + STEP - 1) // STEP)
-        self.side = -(-n // STEP)
         self.overlap = int(2 * self.side[-1] + 2) * STEP
 
     @staticmethod
@@ -250,19 +257,19 @@ class Searcher:
         doc = np.searchsorted(ends, steps, "right")
         begin, end = np.append(0, ends)[doc], ends[doc]
         total = np.zeros((len(at) + 1, len(self.items)), np.int32)
-        np.cumsum(_sums(self.member, grid), axis=0, dtype=np.int32, out=total[1:])
+        np.cumsum(_sums(self.rare, grid), axis=0, dtype=np.int32, out=total[1:])
         found = np.zeros((len(at), len(self.items)), bool)
         for k in np.unique(self.run):
             lo, hi = np.searchsorted(self.run, [k, k + 1])
             t = total[:, lo:hi]
-            found[:, lo:hi] = t[np.minimum(steps + k, end)] - t[:-1] >= self.need[lo:hi]
+            found[:, lo:hi] = t[np.minimum(steps + k, end)] - t[:-1] >= self.rare_need[lo:hi]
         cosine = self._unit(_passages(_sums(self.latent, grid), follows)) @ self.vectors.T
         if len(self.first) < len(self.vectors):
             cosine = np.maximum.reduceat(cosine, self.first, axis=1)
         p, j = np.nonzero(found)
         q, i = np.nonzero(cosine >= COSINE)
         first, last = np.maximum(q - self.side[i], begin[q]), np.minimum(q + 2 + self.side[i], end[q])
-        wide = total[last, i] - total[first, i] >= self.need[i]
+        wide = total[last, i] - total[first, i] >= self.rare_need[i]
         lo, hi = np.append(p, first[wide]), np.append(np.minimum(p + self.run[j], end[p]), last[wide])
         p, j = np.append(p, q[wide]), np.append(j, i[wide])
         bounds = np.append(at, len(w))
@@ -347,7 +354,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         counts[r["w"] + 1] = r["n"]
     idf = np.log((counts[0] + 1) / (counts[1:] + 1)) + 0.05
     omega = np.random.default_rng(seed).standard_normal((DIMENSIONS, SKETCH)).astype(np.float32)
-    parts = only.mapInArrow(_project(sc.broadcast((idf.astype(np.float32), omega))), "block int, task int, part binary")
+    tasks = max(4 * sc.defaultParallelism, int(counts[0]) // 100_000)  # a task's part has a fixed size, however few its rows
+    parts = only.coalesce(tasks).mapInArrow(_project(sc.broadcast((idf.astype(np.float32), omega))), "block int, task int, part binary")
     parts = parts.groupBy("block", (F.col("task") % 64).alias("lane")).applyInPandas(_sum, "block int, part binary")
     parts = parts.groupBy("block").applyInPandas(_sum, "block int, part binary")
     z, gram = np.zeros((DIMENSIONS, SKETCH)), np.zeros((SKETCH, SKETCH))

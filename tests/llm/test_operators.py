@@ -180,6 +180,32 @@ def test_latent_search_finds_long_items(spark):
     assert {r.doc_id: (list(r.item_ids), r.share) for r in got} == {i: ([i], 1.0) for i in range(len(items))}
 
 
+def test_latent_search_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    item = lambda n: [f"t{x}" for x in rng.zipf(1.25, n) % 3000]
+    items = [item(int(rng.integers(15, 60))) for _ in range(20)]
+    rows = []
+    for i in range(120):  # up to two fifths of the words change, the answer stays; six alignments
+        w = list(items[i % 20])
+        for j in rng.choice(len(w) - 5, min(len(w) - 5, int(len(w) * [0.4, 0.37, 0.3][i % 3])), replace=False):
+            w[j] = item(1)[0]
+        rows.append((i, " ".join(item(48 + [0, 3, 6, 8, 11, 14][i % 6]) + w + item(70))))
+    s = [semantic_search.hashes(semantic_search.words_of(" ".join(w).encode())).tolist() for w in items]
+    want = {}
+    for i, t in rows:
+        d = semantic_search.hashes(semantic_search.words_of(t.encode())).tolist()
+        for k, w in enumerate(s):
+            for o in range(0, len(d), semantic_search.STEP):
+                near = d[max(0, o - len(w)) : o + semantic_search.WINDOW + len(w)]
+                share = semantic_search.lcs(w, near) / len(w)
+                if share >= 0.85 or share >= 0.6 and semantic_search.lcs(w[-5:], near) >= 3:
+                    want.setdefault(i, set()).add(k)
+    assert sum(i % 20 in want.get(i, ()) for i in range(120)) == 120
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = semantic_search.search(spark.createDataFrame(rows, "doc_id long, text string"), b).where("contaminated").collect()
+    assert {r.doc_id: set(r.item_ids) for r in got} == want
+
+
 def test_warc_zip_round_trip(spark):
     rows = [(3, "http://a/\nx", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (None, "u", "same"), (7, "v", "é" * 9000), (7, "v", "é" * 9000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
