@@ -15,6 +15,8 @@ from quillon.llm.queries import table, vocabulary
 
 #: Dropped ids up to this many are broadcast (a few MB); more meet the documents by a shuffle.
 FEW = 200_000
+#: Near copies share so many per cent of their shingles at least; op7 asks for 85 instead.
+NEAR = 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs).where("NOT kept"))
+    return _without(docs, minhash.near_duplicates(docs, percent=NEAR).where("NOT kept"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

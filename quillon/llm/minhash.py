@@ -9,7 +9,7 @@ members that this links are one component. Only where a bucket still holds sever
 the next pivot is the smallest member outside the first component, then those pairs that still cross components and
 that the shingles which only one of these sets has do not rule out.
 Every test is preceded by exact bounds on the sizes and on the symmetric difference, and by the count of equal
-coordinates, which a pair at the threshold misses with a probability below 1e-8. The symmetric difference has at least
+coordinates, which a pair at the threshold misses with a probability below 2e-7 (independent coordinates, 80 or 85 %). The symmetric difference has at least
 one shingle in each of CELLS cells where the parities of two sets differ; for short texts this is nearly its size.
 
 Defined results: null and empty texts have no shingles, link with nothing and stay; repeated rows are one class; of a
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             pairs = pairs.join(narrow.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"), F.col("bits").alias(f"bits_{side}")), side)
         pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         pairs = pairs.where(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)).select("a", "b", "sig_a", "sig_b")
-        pairs = common.stored(pairs.mapInArrow(_alike(max(0.0, t - 0.26)), "a long, b long"), "pairs")
+        pairs = common.stored(pairs.mapInArrow(_alike(max(0.0, t - 0.73 * (t * (1 - t)) ** 0.5)), "a long, b long"), "pairs")
         ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
         few = ends.count() <= BROADCAST_IDS
         needed = common.stored(texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi"), "texts")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quillon.llm import bpe, common, exact_dedup, lattice_lm, minhash, packing, semantic_search, sharding, sstable, toxicity, url_filter, warc_zip
 from quillon.llm.queries import RULES, vocabulary
 
@@ -264,6 +265,17 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_80_per_cent(spark):
+    base = [f"w{x}" for x in range(120)]
+
+    def changed(*at: int) -> str:
+        return " ".join(f"v{x}" if x in at else w for x, w in enumerate(base))
+
+    # 116 shingles each; 10 of them change: 106 of 126 shared, 84 per cent; 15: 101 of 131, 77 per cent
+    d = spark.createDataFrame([(1, changed()), (2, changed(20, 60)), (3, changed(30, 70, 100))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()) == [1, 3]
+
+
 def test_parities_never_rule_out_a_link(spark):
     rng = np.random.default_rng(7)
     rows = []
