@@ -40,8 +40,9 @@ MEMORY = 400_000
 #: Letters that a digit or sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _SIGNS = re.escape("".join(LEET))
-_MIXED = re.compile(rf"[a-z][{_SIGNS}]+[a-z]|^[{_SIGNS}]+[a-z]{{2}}|[a-z]{{2}}[01345789]+$".encode())
-_RUN = re.compile(rb"([a-z])\1\1")
+_LETTER = re.compile(rb"[a-z]")
+_NOISE = re.compile(rf"[{_SIGNS}]|([a-z])\1".encode())
+_LONG_RUN = re.compile(r"([a-z])\1{3,}")
 _SPACED = re.compile(rf"^[a-z{_SIGNS}](?:[.\-_*][a-z{_SIGNS}]){{2,}}$".encode())
 _PUNCTUATION = string.punctuation.encode()
 _EDGE = string.punctuation.replace("@", "").replace("$", "").replace("|", "").replace("+", "").encode()
@@ -119,11 +120,13 @@ class Restorer:
     def token(self, w: bytes) -> list[bytes]:
         """The words that a token stands for."""
         core = w.strip(_EDGE)
-        if len(core) > 64 or not core:
+        if not (_LETTER.search(core) and _NOISE.search(core) or _SPACED.match(core)):
             return [w.strip(_PUNCTUATION)]
-        if _MIXED.search(core) or _RUN.search(core) or _SPACED.match(core):
-            return [x.encode() for x in decode(core.decode(errors="replace"), self.logs).split()]
-        return [w.strip(_PUNCTUATION)]
+        text = core.decode(errors="replace")
+        if len(text) <= 64:
+            return [x.encode() for x in decode(text, self.logs).split()]
+        text = _LONG_RUN.sub(r"\1\1\1", text)  # surplus letters, which would fill whole pieces
+        return [x.encode() for k in range(0, len(text), 64) for x in decode(text[k : k + 128], self.logs).split()]
 
     def runs(self, words: list[bytes]) -> list[bytes]:
         """Words that runs of three or more single letters stand for."""

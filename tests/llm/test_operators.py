@@ -142,6 +142,14 @@ def test_toxicity_restores_and_separates(spark, none):
     assert toxicity.score(none, labels).count() == 0 and toxicity.score(d, labels.where("false")).where("predicted = 1").count() == 0
 
 
+def test_toxicity_restores_every_spelling():
+    logs = toxicity.trigram_logs(toxicity.count_trigrams(b"the idiot is on the road and the ass and the idea of it is the path to it " * 400))
+    r = toxicity.Restorer(logs)
+    assert r.token(b"1d107") == r.token(b"iiddiioott") == r.token(b"1d10t!") == [b"idiot"]
+    assert r.token(b"a55") == [b"ass"] and r.token(b"p47h") == [b"path"] and r.token(b"2024") == [b"2024"]
+    assert r.token(b"idio" + b"o" * 100 + b"t") == [b"idiot"] and b"idiot" in b" ".join(r.token(b".".join([b"i.d.i.o.t"] * 9)))
+
+
 def test_latent_search_finds_leaks(spark, docs, none, monkeypatch):
     rng = np.random.default_rng(5)
     vocab = [f"t{x}" for x in range(3000)]
