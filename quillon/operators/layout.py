@@ -180,7 +180,9 @@ def match_titles(titles: DataFrame, rows: DataFrame, least: int = 75) -> DataFra
     """Titles with the line they name on pages page - 1 to page + 1: an equal one, else the most similar of least or more."""
     near = titles.withColumn("at", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)))
     r = rows.select("doc_id", F.col("page").alias("at"), "line_id", F.col("order").alias("o"), F.col("text").alias("line"))
-    c = near.join(r, ["doc_id", "at"]).withColumn("ratio", F.when(F.trim("line") == F.trim("title"), 101).otherwise(fuzzy_ratio("title", "line"))).where(F.col("ratio") >= least)
+    n, m = F.length("title"), F.length("line")
+    may = (F.least(n, m) * 200 >= (n + m) * F.lit(least - 0.5)) | (F.trim("line") == F.trim("title"))  # an exact bound by lengths
+    c = near.join(r, ["doc_id", "at"]).where(may).withColumn("ratio", F.when(F.trim("line") == F.trim("title"), 101).otherwise(fuzzy_ratio("title", "line"))).where(F.col("ratio") >= least)
     best = c.groupBy("doc_id", "title", "page").agg(F.max_by(F.struct("at", "line_id"), F.struct("ratio", -F.col("o"))).alias("b"), F.max("ratio").alias("ratio"))
     return best.select("doc_id", "title", "page", F.col("b.at").alias("found_page"), F.col("b.line_id").alias("line_id"), F.least("ratio", F.lit(100)).alias("ratio"))
 

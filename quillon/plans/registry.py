@@ -435,8 +435,8 @@ def prediction_format(spark, sf):
 
 @query()
 def title_fuzzy_match(spark, sf):
-    r = _line_table(spark, sf).withColumn("text", F.substring("text", 1, 60))
-    titles = r.where(F.col("order") % 5 == 0).select("doc_id", F.col("page"), F.concat(F.substring("text", 1, 30), F.substring("text", 33, 60)).alias("title"))
+    r = _line_table(spark, sf)
+    titles = r.select("doc_id", F.col("page"), F.concat(F.substring("text", 1, 30), F.expr("substring(text, 33)")).alias("title"))
     return layout.match_titles(titles, r)
 
 
