@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,12 @@ ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set and driver and
+    executors are one machine, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", given) if _settable(spark) else None
         _OWN[id(spark)] = _OWN.get(id(spark), given)
@@ -42,17 +47,50 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it again: this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that each running narrow() has stored.
+_scratch: list[list[str]] = []
+
+
+def narrow(f):
+    """For an operator whose result is a few columns: the result is stored, and all other tables it stored are deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _scratch.append([])
+        try:
+            out = f(*args, **kwargs)
+            paths = _scratch.pop()
+        except BaseException:
+            _scratch.pop()
+            raise
+        kept = stored(out, f.__name__.replace("_", "-"))
+        for path in paths:
+            deleted(out.sparkSession, path)
+        return kept
+
+    return run
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by stored(), once nothing will read it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        deleted(df.sparkSession, path)
 
 
 def arrow_rows(spark: SparkSession, n: int = ARROW_ROWS) -> None:
@@ -78,9 +116,23 @@ def tables(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
             yield b.slice(i, step)
 
 
-def with_group_winner(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def merged(batches: Iterator[pa.RecordBatch], rows: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Several batches as one, up to about so many rows and bytes."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+    for b in batches:
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= max_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def with_group_winner(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Join each row to the one row of its group. Groups with over a thousandth of all rows number below a thousand,
-    so they may be broadcast; the other groups' rows meet by a shuffle that no key can skew."""
+    so they may be broadcast; the other groups' rows meet by a shuffle that no key can skew. Keys are never null."""
     if not total:
         return rows.join(groups, key)
     hot = groups.where(F.col(size) * 1000 > F.lit(total))
@@ -89,6 +141,42 @@ def with_group_winner(rows: DataFrame, groups: DataFrame, key: str, size: str, t
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(rest, key))
 
 
+#: Names of files that may be broadcast (some MB).
+FILES = 50_000
+#: Below so many rows one task can hold a whole table, so that no key needs a place of its own.
+ONE_TASK = 1_000_000
+
+
+def spread_left(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """rows left join other, which has one row a key. Keys of over a thousandth of all rows meet theirs by broadcast."""
+    total = rows.count()
+    if total <= ONE_TASK:
+        return rows.join(other, key, "left")
+    hot = stored(rows.groupBy(key).count().where(F.col("count") * 1000 > F.lit(total)).select(key), "hot")
+    keys = F.broadcast(hot)
+    few = F.broadcast(other.join(keys, key, "left_semi"))
+    return rows.join(keys, key, "left_semi").join(few, key, "left").unionByName(rows.join(keys, key, "left_anti").join(other, key, "left"))
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a number of its own for each row, the file's place among all files, then
+    the row's in it. It comes from the files' metadata, so that every reading gives the same; other tables are stored
+    first."""
+    spark = docs.sparkSession
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        docs = stored(docs, "docs")
+    used = {c.lower() for c in docs.columns}
+    key = next(k for k in ("row_key" + "_" * i for i in range(len(used) + 1)) if not used & {k, f"{k}_file", f"{k}_at", f"{k}_place"})
+    meta = docs.metadataColumn("_metadata")
+    files = [r[0] for r in docs.select(meta["file_path"]).distinct().collect()]  # a row per file, as the driver's own listing
+    places = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], f"{key}_file string, {key}_place long")
+    rows = docs.select("*", meta["file_path"].alias(f"{key}_file"), meta["row_index"].alias(f"{key}_at"))
+    rows = rows.join(F.broadcast(places) if len(files) <= FILES else places, f"{key}_file")
+    return rows.select(*docs.columns, (F.shiftleft(f"{key}_place", 36) + F.col(f"{key}_at")).alias(key)), key
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each connected component, for every node that has an edge.
 
@@ -101,17 +189,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hook = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), "hook")
         for _ in range(2):
             over = hook.select(F.col("node").alias("up"), F.col("up").alias("top")).where("up <> top")
-            hook = hook.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        hook = stored(hook, "hook")
+            hook = stored(spread_left(hook, over, "up").select("node", F.coalesce("top", "up").alias("up")), "hook")
         maps.append(hook)
         old = e
         for side in ("a", "b"):
-            e = e.withColumnRenamed(side, "node").join(hook, "node").drop("node").withColumnRenamed("up", side)
+            e = spread_left(e.withColumnRenamed(side, "node"), hook, "node").drop("node").withColumnRenamed("up", side)
         e = stored(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         dropped(old)
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = maps[0].select("node", F.col("up").alias("label"))
     for m in maps[1:]:
-        out = out.join(m.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    return stored(out, "labels") if len(maps) > 1 else out
+        out = stored(spread_left(out, m.select(F.col("node").alias("label"), "up"), "label").select("node", F.coalesce("up", "label").alias("label")), "labels")
+    return out
