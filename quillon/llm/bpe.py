@@ -3,10 +3,13 @@
 Byte-level BPE merges nothing across pre-tokens, so each worker lets the library's model encode every distinct
 pre-token once and puts documents together from them. Texts are first cut at spaces that follow a character other than
 white space: no pre-token crosses such a place and none looks behind it, so the ids are those of the whole text.
+Where a text spells one of the vocabulary's added tokens, that is cut out first and has its own id, as the library does
+by default; a file whose settings differ from these is left to the library altogether.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -34,7 +37,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        with open(file) as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.model, self.split = self.tok.model, self.tok.pre_tokenizer.pre_tokenize_str
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -77,6 +86,17 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as packed integers of self.dtype."""
+        if not self.plain:
+            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.cut and any(a in text for a in self.added):
+            out, at = [], 0
+            for m in self.cut.finditer(text):
+                out += [self._ordinary(text[at : m.start()]), array(self.code, [self.added[m[0]]]).tobytes()]
+                at = m.end()
+            return b"".join([*out, self._ordinary(text[at:])])
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         get, chunk = self.known.get, self._chunk
