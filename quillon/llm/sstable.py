@@ -8,8 +8,11 @@ most absent keys without reading a block. The footer has the places of both, the
 Keys: one byte 0 for null or 1, then the doc_id in eight bytes, big-endian with the sign flipped, so that byte order is
 numeric order and nulls come first. Values: ids packed in two or four bytes.
 
-Defined results: a null or empty text is its end id alone; rows with equal doc_id are adjacent, in order of their ids'
-bytes, and each is returned; an empty table gives no shard and no rows; other columns are ignored. A task that runs
+Rows are dealt by ranges of (doc_id, hash of the text), so that a doc_id, null included, that many rows have fills several
+shards and is held by no task; every record is written as it comes.
+
+Defined results: a null or empty text is its end id alone; rows with equal doc_id are adjacent, in order of a hash of
+their texts, and each is returned; an empty table gives no shard and no rows; other columns are ignored. A task that runs
 again writes a file of its own, and only the file of the attempt that Spark accepted is in the manifest.
 """
 
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ FOOTER = struct.Struct("<QQQQQQI4x8s")
 BLOCK_BYTES = 1 << 16
 RESTART = 16
 BITS_PER_KEY, PROBES = 10, 7
-MANIFEST = "path string, first_key binary, last_key binary, n_docs long, n_tokens long"
+MANIFEST = "part int, path string, first_key binary, last_key binary, n_docs long, n_tokens long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -77,7 +81,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
-        self.block, self.in_block, self.raw = bytearray(), 0, 0
+        self.block, self.in_block = bytearray(), 0
         self.last, self.first = b"", None
         self.index: list[tuple[bytes, int, int, int]] = []
         self.keys: list[bytes] = []
@@ -113,10 +117,11 @@ class Writer:
         self.flush()
         index = b"".join(_varint(len(k)) + k + _varint(o) + _varint(s) + _varint(c) for k, o, s, c in self.index)
         bits = max(64, len(self.keys) * BITS_PER_KEY)
-        bloom = np.zeros(bits, np.uint8)
+        bloom = bytearray(-(-bits // 8))
         for k in self.keys:
-            bloom[_probes(k, bits)] = 1
-        packed = struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
+            for p in _probes(k, bits):
+                bloom[p >> 3] |= 128 >> (p & 7)
+        packed = struct.pack("<Q", bits) + bytes(bloom)
         self.out.write(index)
         self.out.write(packed)
         self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), self.n, self.tokens, self.width, MAGIC))
@@ -192,28 +197,16 @@ def _write(folder: str, file: str, end_id: int):
         fs.create_dir(base, recursive=True)
         path = f"{base}/{uuid.uuid4().hex}.sst"
         w = out = None
-        held: list[bytes] = []
-        last = None
-
-        def put() -> None:
-            for v in sorted(held):
-                w.add(last, v)
-
         for b in common.tables(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if w is None:
                     out = fs.open_output_stream(path)
                     w = Writer(out, width)
-                key = key_of(doc)
-                if key != last:
-                    put()
-                    held, last = [], key
-                held.append(enc.encode(text or "") + end)
+                w.add(key_of(doc), enc.encode(text or "") + end)
         if w is not None:
-            put()
             w.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "first_key": [w.first], "last_key": [w.last], "n_docs": [w.n], "n_tokens": [w.tokens]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "first_key": [w.first], "last_key": [w.last], "n_docs": [w.n], "n_tokens": [w.tokens]})
 
     return run
 
@@ -221,8 +214,8 @@ def _write(folder: str, file: str, end_id: int):
 def write(docs: DataFrame, folder: str, file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards in ascending doc_id order and return their manifest, a row per shard."""
     common.arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(folder, file, end_id), MANIFEST), "manifest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    return common.stored(rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(_write(folder, file, end_id), MANIFEST), "manifest")
 
 
 def _scan():
@@ -255,7 +248,7 @@ def read(manifest: DataFrame) -> DataFrame:
     """All records of the shards: doc_id, start (ids of all documents before it), n_tokens, ids."""
     spark = manifest.sparkSession
     rows, start = [], 0
-    for m in manifest.orderBy("first_key").collect():  # a row per shard
+    for m in manifest.orderBy("part").collect():  # a row per shard; ranges are numbered in order
         rows.append((m["path"], start))
         start += m["n_tokens"]
     paths = spark.createDataFrame(rows, "path string, start long")
@@ -264,7 +257,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[bytes]]:
     """Point look-ups from the driver: bisect the manifest, then the shard's filter, index and one block."""
-    rows = manifest.orderBy("first_key").collect()
+    rows = manifest.orderBy("part").collect()
     out: dict[int, list[bytes]] = {}
     for d in doc_ids:
         key, found = key_of(d), []
