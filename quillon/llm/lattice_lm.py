@@ -13,6 +13,11 @@ Words are counted, scored and sent back by (block, word), so what is shuffled ar
 no word has more rows than there are blocks, and nothing that grows with the corpus is broadcast or collected. What the
 driver sees is a number per unit of the vocabulary.
 
+The product of all words' lattice sums alone, without the paths of whole words and the urn, is a column of its own.
+
+A word of any length has its lattice: one of over LONG_WORD bytes is gone through in segments, so that what is held is
+eight bytes a byte of it and the arcs of a segment.
+
 Defined results: null and empty texts are the end token alone; repeated rows each count; rows with a null doc_id are
 scored, and belong to training as crc32('') decides; an empty table gives no rows; other columns are ignored.
 """
@@ -34,17 +39,20 @@ from . import common
 
 #: Distinct words after which a block ends, and tokens likewise; they bound what a task holds.
 BLOCK_WORDS, BLOCK_TOKENS = 400_000, 4_000_000
-LONGEST = 16
+#: Bytes of a word after which its arcs are made a segment of SEGMENT starts at a time.
+LONG_WORD, SEGMENT = 4096, 4096
 ROUNDS = 3
 #: Added to each unit's expected count.
 PRIOR = 0.01
 DISCOUNT, WEIGHT = 0.7, 2000.0
+#: Words that a lattice is asked for at a time.
+BATCH = 20_000
 _BLANK = 0x20
 
 
 def vocabulary(file: str) -> tuple[list[bytes], np.ndarray]:
     """Units of a sentencepiece model as bytes, a word's start as a blank, and a first guess of their logs by rank.
-    The 256 single bytes are always units. Units longer than LONGEST bytes are left out."""
+    The 256 single bytes are always units. Units with a blank inside are left out: no word has one."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=file)
@@ -53,7 +61,7 @@ def vocabulary(file: str) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         u = sp.id_to_piece(i).replace("▁", " ").lower().encode()
-        if 0 < len(u) <= LONGEST and b" " not in u[1:]:
+        if u and b" " not in u[1:]:
             units[u] = max(units.get(u, -99.0), -math.log(i + 20))
     logs = np.array(list(units.values()))
     return list(units), logs - np.log(np.exp(logs).sum())
@@ -78,12 +86,12 @@ class Lattice:
         self.hashes, self.logs = h[self.order], np.append(logs[self.order], -np.inf)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[h >> np.uint64(42)] = True
-        self.n = len(units)
+        self.n, self.longest = len(units), max(map(len, units))
 
     def _arcs(self, m: np.ndarray) -> np.ndarray:
         """Unit of each (word, start, length - 1), or n."""
         b, size = m.shape
-        k = min(LONGEST, size)
+        k = min(self.longest, size)
         arcs = np.full((b, size, k), self.n, np.int32)
         h = np.zeros((b, size), np.uint64)
         for j in range(k):
@@ -108,21 +116,56 @@ class Lattice:
         return alpha
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = np.array([len(w) for w in words])
+        sizes = np.array([len(w) if len(w) < LONG_WORD else -1 for w in words], np.int64)
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.diff(sizes[order])) + 1
         for g in np.split(order, cuts):
-            if len(g):
+            if len(g) and sizes[g[0]] >= 0:
                 step = max(1, 60_000 // (int(sizes[g[0]]) + 1))
                 for i in range(0, len(g), step):
                     part = g[i : i + step]
                     m = np.frombuffer(b"".join(b" " + words[j] for j in part), np.uint8).reshape(len(part), -1).astype(np.uint64)
                     yield part, m
 
+    def _segments(self, word: bytes, backwards: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(first start, arcs) of a long word's segments; the arcs of a segment may end beyond it."""
+        m = np.frombuffer(b" " + word, np.uint8)
+        for s in sorted(range(0, len(m), SEGMENT), reverse=backwards):
+            arcs = self._arcs(m[None, s : s + SEGMENT + self.longest].astype(np.uint64))
+            yield s, arcs[0, : min(SEGMENT, len(m) - s)]
+
+    def _long_forward(self, word: bytes) -> np.ndarray:
+        alpha = np.full(len(word) + 2, -np.inf)
+        alpha[0] = 0
+        for s, arcs in self._segments(word):
+            score = self.logs[arcs]
+            for i in range(len(arcs)):  # each start adds its arcs to where they end
+                k = min(arcs.shape[1], len(alpha) - 1 - s - i)
+                to = alpha[s + i + 1 : s + i + 1 + k]
+                np.logaddexp(to, alpha[s + i] + score[i, :k], out=to)
+        return alpha
+
+    def _long_expected(self, word: bytes, count: float, out: np.ndarray) -> None:
+        alpha = self._long_forward(word)
+        beta = np.full(len(alpha), -np.inf)
+        beta[-1] = 0
+        for s, arcs in self._segments(word, backwards=True):
+            score = self.logs[arcs]
+            k = arcs.shape[1]
+            for i in range(len(arcs) - 1, -1, -1):
+                after = beta[s + i + 1 : s + i + 1 + k]
+                beta[s + i] = np.logaddexp.reduce(after + score[i, : len(after)])
+            at, j = np.nonzero(arcs < self.n)
+            p = np.exp(alpha[s + at] + score[at, j] + beta[s + at + j + 1] - alpha[-1]) * count
+            out += np.bincount(arcs[at, j], weights=p, minlength=self.n + 1)
+
     def log_probs(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words))
         for part, m in self._groups(words):
             out[part] = self._forward(self.logs[self._arcs(m)])[:, -1]
+        for i, w in enumerate(words):
+            if len(w) >= LONG_WORD:
+                out[i] = self._long_forward(w)[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -143,6 +186,9 @@ class Lattice:
             w, s, j = np.nonzero(arcs < self.n)
             p = np.exp(alpha[w, s] + score[w, s, j] + beta[w, s + j + 1] - alpha[w, -1]) * counts[part][w]
             out += np.bincount(arcs[w, s, j], weights=p, minlength=self.n + 1)
+        for w, c in zip(words, counts, strict=True):
+            if len(w) >= LONG_WORD:
+                self._long_expected(w, float(c), out)
         back = np.empty(self.n)
         back[self.order] = out[: self.n]
         return back
@@ -202,7 +248,7 @@ def _blocks():
 def _expect(lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, total = lattice.value, np.zeros(lattice.value.n)
-        for b in batches:
+        for b in common.merged(batches, BATCH):
             total += lat.expected(b.column(0).to_pylist(), np.ones(b.num_rows))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["unit", "n"])
@@ -212,7 +258,7 @@ def _expect(lattice):
 
 def _probe(lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.merged(batches, BATCH):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lattice.value.log_probs(b.column(0).to_pylist()))], ["word", "c", "p"])
 
     return run
@@ -234,7 +280,7 @@ def _score(n: int, v: int, ends: int):
         c[at], p[at] = words["c"].to_numpy(), words["p"].to_numpy()
         base = np.log10((c + 1) / (n + v + 1))
         end = math.log10((ends + 1) / (n + v + 1))
-        types = max(v, 1)
+        types, pure = max(v, 1), p / math.log(10)
         p = p + math.log(DISCOUNT * types / max(n, 1)) if n else p
         with np.errstate(divide="ignore"):
             p = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / max(n, 1)), p)
@@ -247,15 +293,17 @@ def _score(n: int, v: int, ends: int):
             own = p[w].sum() + p_end + len(w) * math.log(WEIGHT) + math.log(WEIGHT)
             own += float((_log_gamma(mass[w][again] + k[again]) - _log_gamma(mass[w][again] + 1)).sum())
             own -= math.lgamma(WEIGHT + tokens) - math.lgamma(WEIGHT)
-            out.append((int(k[c[w] > 0].sum()) + (ends > 0), n, float(k @ base[w]) + end, own / math.log(10)))
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"], "n_known": list(cols[0]), "train_tokens": list(cols[1]), "base_score": list(cols[2]), "score": list(cols[3])})
+            out.append((int(k[c[w] > 0].sum()) + (ends > 0), n, float(k @ base[w]) + end, own / math.log(10), float(k @ pure[w]) + end))
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": docs["n_tokens"], "n_known": list(cols[0]), "train_tokens": list(cols[1]), "base_score": list(cols[2]), "score": list(cols[3]), "lattice_score": list(cols[4])})
 
     return run
 
 
+@common.narrow
 def score(docs: DataFrame, file: str, is_held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and lattice_score, the lattice
+    sums of its words and the end token's base probability alone (all three log10)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     common.arrow_rows(spark)
@@ -265,7 +313,6 @@ def score(docs: DataFrame, file: str, is_held_out: Column | None = None, id_col:
     entries = blocks.where("word IS NOT NULL").select("block", "at", "word", "trained")
     doc_rows = blocks.where("word IS NULL").select("block", "doc_id", "held_out", "n_tokens", "words", "counts")
     counts = common.stored(entries.groupBy("word").agg(F.sum("trained").alias("c")), "counts")
-    common.arrow_rows(spark, 20_000)
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     ends = doc_rows.where("NOT held_out").count()
     n, v = seen["n"] + ends, seen["v"] + (ends > 0)
@@ -279,5 +326,5 @@ def score(docs: DataFrame, file: str, is_held_out: Column | None = None, id_col:
         logs = np.log(got / got.sum())
     scored = counts.mapInArrow(_probe(sc.broadcast(Lattice(units, logs))), "word binary, c long, p double")
     back = entries.select("block", "at", "word").join(scored, "word").select(F.col("block").alias("of"), "at", "c", "p")
-    out = doc_rows.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(_score(n, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = doc_rows.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(_score(n, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
     return out
