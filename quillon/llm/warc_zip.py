@@ -225,7 +225,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
     again = common.stored(again.select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "first").distinct(), "revisits")
     few = again.count() <= 50_000
     with_sum = rows.withColumn("s0", F.sha1(F.col("html").cast("binary")))
-    on = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("s0") == F.col("s")) if few else (F.coalesce("page_id", F.lit(-(1 << 63))) == F.coalesce("p", F.lit(-(1 << 63)))) & (F.col("s0") == F.col("s"))
+    on = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("s0") == F.col("s"))
     rows = with_sum.join(F.broadcast(again) if few else again, on, "left").select("page_id", "url", "html", F.col("first").alias("refers"))
     return common.stored(rows.mapInArrow(_write(folder), "path string, records long"), "packages")
 
