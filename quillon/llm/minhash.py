@@ -9,8 +9,10 @@ members that this links are one component. Only where a bucket still holds sever
 the next pivot is the smallest member outside the first component, then those pairs that still cross components and
 that the shingles which only one of these sets has do not rule out.
 Every test is preceded by exact bounds on the sizes and on the symmetric difference, and by the count of equal
-coordinates, which a pair at the threshold misses with a probability below 2e-7 (independent coordinates, 80 or 85 %). The symmetric difference has at least
-one shingle in each of CELLS cells where the parities of two sets differ; for short texts this is nearly its size.
+coordinates, from which SIGMAS standard deviations are allowed below the threshold. Bands and rows follow from the
+threshold: a pair at it shares no band with a probability of MISS at most (independent coordinates). The symmetric
+difference has at least one shingle in each of CELLS cells where the parities of two sets differ; for short texts this
+is nearly its size. Members of a large bucket meet in blocks of BLOCK, spread over tasks.
 
 Defined results: null and empty texts have no shingles, link with nothing and stay; repeated rows are one class; of a
 component the smallest doc_id stays (every row that carries it); rows with a null doc_id take no part and are returned
@@ -19,6 +21,7 @@ with a null component and kept; an empty table gives no rows; other columns, wha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH = 5
-BANDS, ROWS = 16, 4
-COORDINATES = BANDS * ROWS
+#: The fewest bands, the most rows of a band and, with two rows or more, the most coordinates.
+BANDS, ROWS, COORDINATES = 16, 4, 128
+MISS, SIGMAS = 3e-4, 5.84
+#: Members of a bucket that one task compares with others of it at a time.
+BLOCK = 1000
 #: Cells of a set's parities, 64 to a long; a power of two.
 CELLS = 1024
 #: Bands whose buckets are tested against their smallest member first; most others then hold one component already.
@@ -74,7 +80,18 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mix64(s))
 
 
-def signature(sh: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, rows) for a threshold: as many rows as the coordinates allow."""
+    if not 1 <= percent <= 100:
+        raise ValueError("the threshold is 1 to 100 per cent")
+    for rows in range(ROWS, 0, -1):
+        hit = (percent / 100) ** rows
+        bands = max(BANDS, math.ceil(math.log(MISS) / math.log1p(-hit))) if hit < 1 else BANDS
+        if bands * rows <= COORDINATES or rows == 1:
+            return bands, rows
+
+
+def signature(sh: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
     """Coordinate k is the least of the second permutation, shifted by k, over the shuffled shingles."""
     x = _permute32((sh >> np.uint64(32)).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
     out = np.full(coordinates, 0xFFFFFFFF, np.uint32)
@@ -168,11 +185,15 @@ def _explode(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links): links hold if 100 * shared >= percent * union."""
+@common.narrow
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, n_confirmed): links hold if 100 * shared >= percent * union. n_confirmed
+    counts the links of the document's class that were tested; links inside a component that is known need no test."""
     spark = docs.sparkSession
     common.arrow_rows(spark)
+    bands, rows = bands_for(percent)
     t = percent / 100
+    least_equal = max(0.0, t - SIGMAS * (t * (1 - t) / (bands * rows)) ** 0.5)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_rows = common.stored(texts.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, set_key binary, sig binary, buckets array<long>, bits array<long>"), "sketch")
     known = all_rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -188,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             pairs = pairs.join(narrow.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"), F.col("bits").alias(f"bits_{side}")), side)
         pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         pairs = pairs.where(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)).select("a", "b", "sig_a", "sig_b")
-        pairs = common.stored(pairs.mapInArrow(_alike(max(0.0, t - 0.73 * (t * (1 - t)) ** 0.5)), "a long, b long"), "pairs")
+        pairs = common.stored(pairs.mapInArrow(_alike(least_equal), "a long, b long"), "pairs")
         ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
         few = ends.count() <= BROADCAST_IDS
         needed = common.stored(texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi"), "texts")
@@ -213,24 +234,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     begin = members.where(F.col("band") < FIRST_BANDS).select("id", "bucket")
     members = members.select("id", "bucket")
-    pivots = common.stored(begin.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("bucket", "a"), "pivots")
-    done = common.stored(ordered(begin.join(pivots, "bucket").where("id <> a")), "done")
+    pivots = common.stored(begin.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1"), "pivots")
+    done = common.stored(ordered(common.with_group_winner(begin, pivots, "bucket", "k", begin.count()).where("id <> a")), "done")
     links = linked(done)
     labels = common.components(links)
     for last in (False, True):
         named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = common.stored(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "lo"), "mixed")
+        mixed = common.stored(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("bucket", "lo", "k"), "mixed")
         if mixed.isEmpty():
             break
-        named = common.stored(named.join(mixed, "bucket"), "named")
+        named = common.stored(common.with_group_winner(named, mixed, "bucket", "k", members.count()), "named")
         if last:
-            named = common.stored(named.join(own_shingles(named.select("id").distinct()), "id"), "named")
-            other = named.select("bucket", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("own").alias("own_a"))
+            named = named.join(own_shingles(named.select("id").distinct()), "id")
+            blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+            named = common.stored(named.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("id"), F.col("blocks"))), "named")
+            every = named.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # each member meets each block of its bucket
+            other = every.select("bucket", "block", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("own").alias("own_a"))
             most, least = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")), F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))
-            pairs = named.join(other, "bucket").where((F.col("a") < F.col("id")) & (F.col("label") != F.col("label_a")) & (most * 100 >= least * percent) & may_link(F.col("n_a"), F.col("bits_a"), F.col("n"), F.col("bits"), percent))
+            pairs = named.join(other, ["bucket", "block"]).where((F.col("a") < F.col("id")) & (F.col("label") != F.col("label_a")) & (most * 100 >= least * percent) & may_link(F.col("n_a"), F.col("bits_a"), F.col("n"), F.col("bits"), percent))
         else:
-            pivots = common.stored(named.where("label > lo").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("p")).select("bucket", F.col("p.id").alias("a"), F.col("p.label").alias("label_a")), "pivots")
-            pairs = named.join(pivots, "bucket").where("id <> a AND label <> label_a")
+            pivots = common.stored(named.where("label > lo").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("p"), F.max("k").alias("k")).select("bucket", F.col("p.id").alias("a"), F.col("p.label").alias("label_a"), F.col("k").alias("size")), "pivots")
+            pairs = common.with_group_winner(named, pivots, "bucket", "size", named.count()).where("id <> a AND label <> label_a")
         pairs = common.stored(ordered(pairs).join(done, ["a", "b"], "left_anti"), "more")
         done = done.unionByName(pairs)
         members = named.select("id", "bucket")
@@ -239,10 +263,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             links = links.unionByName(found)
             labels = common.components(links)
     links = links.distinct()
-    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_confirmed"))
     judged = classes.select("set_key", "copies", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
-    judged = common.stored(judged.select("set_key", "copies", F.coalesce("label", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "judged")
-    rows_out = common.with_group_winner(known.select("doc_id", "n_shingles", "set_key"), judged, "set_key", "copies", total).select("doc_id", "n_shingles", "component_id", "n_links")
-    alone = all_rows.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    judged = common.stored(judged.select("set_key", "copies", F.coalesce("label", "id").alias("component_id"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed")), "judged")
+    rows_out = common.with_group_winner(known.select("doc_id", "n_shingles", "set_key"), judged, "set_key", "copies", total).select("doc_id", "n_shingles", "component_id", "n_confirmed")
+    alone = all_rows.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_confirmed"))
     out = rows_out.unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_confirmed")

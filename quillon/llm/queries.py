@@ -52,7 +52,7 @@ def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("n_links")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("n_confirmed")
 
 
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
