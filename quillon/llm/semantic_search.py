@@ -41,29 +41,83 @@ COSINE = 0.35
 PIECE = 64
 FULL, PART, ANSWER_WORDS, ANSWER = 0.85, 0.6, 5, 0.6
 ITEMS_A_PASS = 512
+#: A text's own words recur so many times as often as in all texts; a guess that decides which words are counted first.
+BURST = 8
+#: Passages of a task that sums projections, at least, if all cores have a task.
+PASSAGES_A_TASK = 500_000
+_FAN_IN = 64
 _TABLE = bytes(32 if chr(b) in " \t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ROWS = 64
 
 
 def words_of(text: bytes) -> list[bytes]:
-    text = text if text.isascii() else text.decode(errors="replace").lower().encode()
-    return text.translate(_TABLE).split()
+    return _plain(text).translate(_TABLE).split()
+
+
+def _plain(text: bytes) -> bytes:
+    return text if text.isascii() else text.decode(errors="replace").lower().encode()
+
+
+#: An odd multiplier; powers of it and of its inverse (modulo 2^64) give every word's polynomial from one running sum.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes that are hashed at a time, so that both tables of powers stay small.
+_SPAN = 1 << 20
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_SPAN, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_up, _down = _powers(_BASE), _powers(_INVERSE)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a translated text, and where each begins. A word's hash depends on its bytes alone."""
+    c = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], c == 32, [True]))))
+    first, last = edge[::2], edge[1::2]
+    out = np.zeros(len(first), np.uint64)
+    i = 0
+    while i < len(first):
+        j = max(int(np.searchsorted(last, first[i] + _SPAN, "right")), i + 1)
+        lo, hi = int(first[i]), int(last[j - 1])
+        if hi - lo > _SPAN:  # one word longer than the tables
+            out[i] = xxhash.xxh3_64_intdigest(data[lo:hi])
+        else:
+            run = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((c[lo:hi].astype(np.uint64) + np.uint64(1)) * _up[: hi - lo], dtype=np.uint64, out=run[1:])
+            out[i:j] = (run[last[i:j] - lo] - run[first[i:j] - lo]) * _down[first[i:j] - lo]
+        i = j
+    return _mixed(out), first
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+    return _hashed(b" ".join(words))[0]
 
 
 def _tokenise():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.tables(batches):
-            h = [hashes(words_of(t)).astype("<u4").tobytes() for t in common.as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], ["doc_id", "words"])
+        for b in common.tables(batches, 1 << 20):
+            texts = [_plain(t) for t in common.as_bytes(b.column(1))]
+            h, first = _hashed(b" ".join(texts).translate(_TABLE))
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            cut = 4 * np.searchsorted(first, starts)
+            packed = h.astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "words"])
 
     return run
 
 
-def _documents(batches: Iterator[pa.RecordBatch], words: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _documents(batches: Iterator[pa.RecordBatch], words: int = 160_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words of some documents at a time, and where each starts; long documents are cut between passages."""
     held: list[np.ndarray] = []
     n = 0
@@ -102,9 +156,12 @@ def _padded(table: np.ndarray) -> np.ndarray:
 
 def _sums(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Sums of the rows of a padded table over each step's words."""
-    out = table[grid[:, 0]]
+    by_place = np.ascontiguousarray(grid.T).astype(np.intp)
+    out = table.take(by_place[0], axis=0, mode="clip")
+    row = np.empty_like(out)
     for j in range(1, STEP):
-        out += table[grid[:, j]]
+        table.take(by_place[j], axis=0, out=row, mode="clip")
+        out += row
     return out
 
 
@@ -115,6 +172,32 @@ def _passages(rows: np.ndarray, follows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _add_rows(z: np.ndarray, keys: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """z[key] += values[row] for every (key, row). Each key's rows are summed sixteen at a time, then these sums are,
+    until a key has one."""
+    order = np.argsort(keys, kind="stable")
+    while len(order):
+        keys, rows = keys[order], rows[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        starts = np.flatnonzero(new)
+        within = np.arange(len(keys)) - starts[np.cumsum(new) - 1]
+        heads = np.flatnonzero(within & 15 == 0)
+        sizes = np.diff(np.append(heads, len(keys)))
+        by = np.argsort(-sizes, kind="stable")
+        heads, sizes = heads[by], sizes[by]
+        out = values.take(rows[heads], axis=0, mode="clip")
+        row = np.empty_like(out)
+        for j in range(1, int(sizes[0])):
+            m = int(np.searchsorted(-sizes, -j, "left"))
+            out[:m] += values.take(rows[heads[:m] + j], axis=0, out=row[:m], mode="clip")
+        keys = keys[heads]
+        if len(heads) == len(starts):
+            z[keys] += out
+            return
+        values, rows = out, np.arange(len(keys))
+        order = np.argsort(keys, kind="stable")
+
+
 def _frequencies():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(DIMENSIONS, np.int64), 0
@@ -136,7 +219,7 @@ def _project(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, omega = shared.value
         weighted, squares, own = _padded(omega * idf[:, None]), _padded(idf**2), np.append(idf, 0)
-        z, gram = np.zeros((SKETCH, DIMENSIONS + 1)), np.zeros((SKETCH, SKETCH))
+        z, gram = np.zeros((DIMENSIONS + 1, SKETCH), np.float32), np.zeros((SKETCH, SKETCH))
         any_rows = False
         for w, starts in _documents(batches):
             any_rows = True
@@ -148,10 +231,8 @@ def _project(shared):
             y /= norm
             back = y.copy()
             back[1:][follows[:-1]] += y[:-1][follows[:-1]]
-            flat = grid.reshape(-1).astype(np.intp)
-            for k in range(SKETCH):
-                z[k] += np.bincount(flat, np.repeat(back[:, k], STEP), DIMENSIONS + 1)
-        z = (z * own).T[:DIMENSIONS].astype(np.float32)
+            _add_rows(z, grid.reshape(-1).astype(np.uint16), np.repeat(np.arange(len(grid)), STEP), back)
+        z = (z * own[:, None])[:DIMENSIONS].astype(np.float32)
         if any_rows:
             task = TaskContext.get().partitionId()
             n = DIMENSIONS // _ROWS
@@ -167,7 +248,7 @@ def _sum(key, pdf):
     total = np.frombuffer(pdf["part"].iloc[0], np.float32).astype(float)
     for x in pdf["part"].iloc[1:]:
         total += np.frombuffer(x, np.float32)
-    return pd.DataFrame({"block": [key[0]], "part": [total.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"block": [key[0]], "task": [key[1]], "part": [total.astype(np.float32).tobytes()]})
 
 
 def decompose(z: np.ndarray, gram: np.ndarray, k: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +290,9 @@ class Searcher:
         #: Where a word is among the distinct words of an item, from 1; how often the item has each.
         self.place = np.zeros((DIMENSIONS + 1, len(items)), np.uint16 if most < 1 << 16 else np.int32)
         self.often = np.zeros((len(items), most + 1), np.int32)
-        #: Words that a judged window has anyway count as shared; only the others are counted, and so many are needed.
+        #: Some words count as shared without a look; the others are counted, and so many are needed. Which ones is a
+        #: matter of speed: those that chance is least likely to supply (a tail bound of the Poisson distribution).
+        self.counts = np.uint16 if int(2 * self.side[-1] + 2) * STEP < 1 << 16 else np.uint32
         self.rare, self.rare_need = np.zeros((DIMENSIONS + 1, len(items)), np.uint8), self.need.copy()
         vectors, self.first = [], []
         for i, (_, w) in enumerate(self.items):
@@ -217,12 +300,15 @@ class Searcher:
             distinct, often = np.unique(d, return_counts=True)
             self.place[distinct, i] = np.arange(1, len(distinct) + 1)
             self.often[i, 1 : len(distinct) + 1] = often
-            expected = (2 * self.side[i] + 2) * np.exp(-idf[distinct])
-            order = np.argsort(often / expected)
-            common_words = order[(expected > often)[order] & (np.cumsum(often[order]) <= self.need[i] // 2)]
+            rates = BURST * self.run[i] * np.exp(-idf[distinct])
+            order = np.argsort(-rates / often)
+            left = self.need[i] - np.append(0, np.cumsum(often[order]))
+            chance = np.maximum(rates.sum() - np.append(0, np.cumsum(rates[order])), 1e-9)
+            odds = np.where((left > chance) & (left > 0), left * np.log(np.maximum(left, 1) / chance) - left + chance, -1.0)
+            skipped = order[: int(odds.argmax())]
             self.rare[distinct, i] = 1
-            self.rare[distinct[common_words], i] = 0
-            self.rare_need[i] -= often[common_words].sum()
+            self.rare[distinct[skipped], i] = 0
+            self.rare_need[i] -= often[skipped].sum()
             self.first.append(len(vectors))
             vectors += [self._unit(self.latent[x].sum(0, keepdims=True))[0] for x in np.array_split(d, -(-len(d) // PIECE))]
         self.vectors = np.stack(vectors)
@@ -256,20 +342,20 @@ class Searcher:
         ends = np.flatnonzero(~follows) + 1
         doc = np.searchsorted(ends, steps, "right")
         begin, end = np.append(0, ends)[doc], ends[doc]
-        total = np.zeros((len(at) + 1, len(self.items)), np.int32)
-        np.cumsum(_sums(self.rare, grid), axis=0, dtype=np.int32, out=total[1:])
+        total = np.zeros((len(at) + 1, len(self.items)), self.counts)  # differences are right even where sums wrap
+        np.cumsum(_sums(self.rare, grid), axis=0, dtype=self.counts, out=total[1:])
         found = np.zeros((len(at), len(self.items)), bool)
         for k in np.unique(self.run):
             lo, hi = np.searchsorted(self.run, [k, k + 1])
             t = total[:, lo:hi]
-            found[:, lo:hi] = t[np.minimum(steps + k, end)] - t[:-1] >= self.rare_need[lo:hi]
+            found[:, lo:hi] = t[np.minimum(steps + k, end)] - t[:-1] >= self.rare_need[lo:hi].astype(self.counts)
         cosine = self._unit(_passages(_sums(self.latent, grid), follows)) @ self.vectors.T
         if len(self.first) < len(self.vectors):
             cosine = np.maximum.reduceat(cosine, self.first, axis=1)
-        p, j = np.nonzero(found)
-        q, i = np.nonzero(cosine >= COSINE)
+        p, j = np.divmod(np.flatnonzero(found), len(self.items))
+        q, i = np.divmod(np.flatnonzero(cosine >= COSINE), len(self.items))
         first, last = np.maximum(q - self.side[i], begin[q]), np.minimum(q + 2 + self.side[i], end[q])
-        wide = total[last, i] - total[first, i] >= self.rare_need[i]
+        wide = total[last, i] - total[first, i] >= self.rare_need[i].astype(self.counts)
         lo, hi = np.append(p, first[wide]), np.append(np.minimum(p + self.run[j], end[p]), last[wide])
         p, j = np.append(p, q[wide]), np.append(j, i[wide])
         bounds = np.append(at, len(w))
@@ -341,6 +427,7 @@ def _pieces(take: list[int], packed: list[np.ndarray], overlap: int, words: int
         yield np.concatenate(held), np.cumsum([0] + [len(x) for x in held[:-1]]), docs
 
 
+@common.narrow
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 7) -> DataFrame:
     """Per document: doc_id, item_ids (the items that it leaks, ascending), share (the largest found), contaminated."""
     spark = docs.sparkSession
@@ -354,10 +441,13 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         counts[r["w"] + 1] = r["n"]
     idf = np.log((counts[0] + 1) / (counts[1:] + 1)) + 0.05
     omega = np.random.default_rng(seed).standard_normal((DIMENSIONS, SKETCH)).astype(np.float32)
-    tasks = max(4 * sc.defaultParallelism, int(counts[0]) // 100_000)  # a task's part has a fixed size, however few its rows
+    tasks = min(max(2 * sc.defaultParallelism, int(counts[0]) // PASSAGES_A_TASK), max(only.rdd.getNumPartitions(), 1))  # a task's part has a fixed size, however few its rows
     parts = only.coalesce(tasks).mapInArrow(_project(sc.broadcast((idf.astype(np.float32), omega))), "block int, task int, part binary")
-    parts = parts.groupBy("block", (F.col("task") % 64).alias("lane")).applyInPandas(_sum, "block int, part binary")
-    parts = parts.groupBy("block").applyInPandas(_sum, "block int, part binary")
+    while True:  # sums of _FAN_IN parts, then of these sums
+        tasks = -(-tasks // _FAN_IN)
+        parts = parts.groupBy("block", F.floor(F.col("task") / _FAN_IN).cast("int").alias("task")).applyInPandas(_sum, "block int, task int, part binary")
+        if tasks == 1:
+            break
     z, gram = np.zeros((DIMENSIONS, SKETCH)), np.zeros((SKETCH, SKETCH))
     for r in parts.collect():  # a fixed number of blocks
         x = np.frombuffer(r["part"], np.float32).reshape(-1, SKETCH)
