@@ -11,7 +11,7 @@ from urllib.parse import urlparse
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to a Python worker; long texts make larger batches a memory risk.
@@ -130,15 +130,26 @@ def merged(batches: Iterator[pa.RecordBatch], rows: int, max_bytes: int = 16 <<
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _is_one_of(keys: list[str], values: list) -> Column:
+    """Whether a row's key is among some values: a filter, so that no row passes a join for it."""
+    if not values:
+        return F.lit(False)
+    if len(keys) == 1:
+        return F.col(keys[0]).isin([v[0] for v in values])
+    return F.struct(*keys).isin([F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, v, strict=True))) for v in values])
+
+
 def with_group_winner(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
-    """Join each row to the one row of its group. Groups with over a thousandth of all rows number below a thousand,
-    so they may be broadcast; the other groups' rows meet by a shuffle that no key can skew. Keys are never null."""
-    if not total:
-        return rows.join(groups, key)
-    hot = groups.where(F.col(size) * 1000 > F.lit(total))
-    rest = groups.where(F.col(size) * 1000 <= F.lit(total))
-    keys = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(rest, key))
+    """Join each row to the one row of its group. Groups with over a thousandth of all rows number below a thousand, so
+    their keys may be collected and they may be broadcast; the other groups' rows meet by a shuffle that no key can skew.
+    Keys are never null."""
+    keys = [key] if isinstance(key, str) else list(key)
+    large = F.col(size) * 1000 > F.lit(total)
+    found = groups.where(large).select(*keys).collect() if total else []  # below a thousand
+    if not found:
+        return rows.join(groups, keys)
+    hot = _is_one_of(keys, found)
+    return rows.where(hot).join(F.broadcast(groups.where(large)), keys).unionByName(rows.where(~hot).join(groups.where(~large), keys))
 
 
 #: Names of files that may be broadcast (some MB).
@@ -152,10 +163,11 @@ def spread_left(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     total = rows.count()
     if total <= ONE_TASK:
         return rows.join(other, key, "left")
-    hot = stored(rows.groupBy(key).count().where(F.col("count") * 1000 > F.lit(total)).select(key), "hot")
-    keys = F.broadcast(hot)
-    few = F.broadcast(other.join(keys, key, "left_semi"))
-    return rows.join(keys, key, "left_semi").join(few, key, "left").unionByName(rows.join(keys, key, "left_anti").join(other, key, "left"))
+    found = rows.groupBy(key).count().where(F.col("count") * 1000 > F.lit(total)).select(key).collect()  # below a thousand
+    if not found:
+        return rows.join(other, key, "left")
+    hot = _is_one_of([key], found)
+    return rows.where(hot).join(F.broadcast(other.where(hot)), key, "left").unionByName(rows.where(~hot).join(other, key, "left"))
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
