@@ -16,9 +16,17 @@ import string
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that a worker remembers, at about 150 bytes each; past it the memory starts anew.
 MEMORY = 800_000
+#: Rows and bytes that are encoded together, about.
+ROWS, BYTES = 2000, 8 << 20
+#: Bytes of a text after which it is encoded by itself.
+LONG = 2 << 20
+#: Python's white space before a space or at the end, or a space at the start.
+_ODD = r"^ |[\t-\r\x1c-\x1f\x{85}\p{Z}](?: |$)"
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Fixed value: the pre-token pattern of byte-level BPE, for ASCII text; other chunks are left to the library.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
@@ -66,22 +74,27 @@ class Encoder:
         return ids
 
     def _split(self, c: str) -> list[str]:
-        """The pre-tokens of a chunk, in the letters of their bytes. Mostly that is a word and some punctuation."""
-        core = c.rstrip(string.punctuation)
-        word = core[1:] if core[:1] == " " else core
-        if word.isalpha():
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.letters)
-            word = "Ġ" + word if core[0] == " " else word
-            return [word, c[len(core) :]] if len(core) < len(c) else [word]
+        """The pre-tokens of a chunk, in the letters of their bytes."""
         return [p.translate(self.letters) for p in _ASCII.findall(c)] if c.isascii() else [p for p, _ in self.split(c)]
 
     def _chunk(self, c: str) -> bytes:
+        """Mostly a chunk is a word, which is one pre-token, or a word and some punctuation, which is another."""
         if len(self.known) > MEMORY:
             self.known.clear()
             self.parts.clear()
         get, part = self.parts.get, self._part
-        out = self.known[c] = b"".join([get(p) or part(p) for p in self._split(c)])
+        core = c.rstrip(string.punctuation)
+        word = core[1:] if core[:1] == " " else core
+        if not word.isalpha():
+            out = b"".join([get(p) or part(p) for p in self._split(c)])
+        elif len(core) < len(c):
+            tail = c[len(core) :]
+            out = (self.known.get(core) or self._chunk(core)) + (get(tail) or part(tail))
+        else:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            out = array(self.code, [t.id for t in self.model.tokenize("Ġ" + word if c[0] == " " else word)]).tobytes()
+        self.known[c] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -103,6 +116,48 @@ class Encoder:
         return b"".join([get(c) or chunk(c) for c in self.chunks(text)])
 
 
+    def _is_odd(self, texts: pa.Array) -> np.ndarray:
+        """Texts that are not one chunk a space: spaces at an end or after white space, added tokens, great length."""
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.greater(pc.binary_length(texts), LONG))
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def encode_column(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """Ids of many texts (null: empty), each with end after them. The words of all are numbered by Arrow, so that each
+        distinct one is looked up once a batch; texts with odd spaces are encoded one at a time."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = self._is_odd(texts) if self.plain else np.ones(len(texts), bool)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.encode(texts[i].as_py()) + end
+        rows = np.flatnonzero(~odd)
+        if not len(rows):
+            return out
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        ends, words = ends - ends[0], parts.flatten()
+        numbered = words.dictionary_encode()
+        get, chunk = self.known.get, self._chunk
+        pieces = [get(c) or chunk(c) for c in [" " + w for w in numbered.dictionary.to_pylist()]]
+        codes = numbered.indices.to_numpy().astype(np.int64)
+        codes[ends[:-1]] = len(pieces) + np.arange(len(rows))
+        pieces += [(get(w) or chunk(w)) if w else b"" for w in words.take(pa.array(ends[:-1])).to_pylist()]
+        codes = np.insert(codes, ends[1:], len(pieces))
+        pieces.append(end)
+        width = self.dtype.itemsize
+        ids = np.frombuffer(b"".join(pieces), self.dtype)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // width
+        first = np.cumsum(size) - size
+        n = size[codes]
+        upto = np.cumsum(n)
+        packed = ids[np.repeat(first[codes] - upto + n, n) + np.arange(int(upto[-1]))].tobytes()
+        stop = (upto[ends[1:] + np.arange(len(rows))] * width).tolist()
+        for i, a, b in zip(rows.tolist(), [0, *stop], stop, strict=False):
+            out[i] = packed[a:b]
+        return out
+
+
 def encoder(file: str) -> Encoder:
     """One encoder per worker and file; worker processes are reused, so its memory outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -31,8 +31,8 @@ def _encode(file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local, enc = TaskContext.get().partitionId(), 0, bpe.encoder(file)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in common.tables(batches):
-            ids = [enc.encode(t or "") + end for t in b.column(1).to_pylist()]
+        for b in common.merged(common.tables(batches), bpe.ROWS, bpe.BYTES):
+            ids = enc.encode_column(b.column(1), end)
             n = np.array([len(x) for x in ids], np.int64) // enc.dtype.itemsize
             first = local + np.cumsum(n) - n
             local += int(n.sum())

@@ -22,19 +22,19 @@ import bisect
 import io
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, common
 
-MAGIC = b"QSSTABL1"
+MAGIC = b"QSSTABL2"
 FOOTER = struct.Struct("<QQQQQQI4x8s")
 BLOCK_BYTES = 1 << 16
 RESTART = 16
@@ -81,6 +81,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
+        self.press = zstandard.ZstdCompressor(level=1)
         self.block, self.in_block = bytearray(), 0
         self.last, self.first = b"", None
         self.index: list[tuple[bytes, int, int, int]] = []
@@ -107,7 +108,7 @@ class Writer:
 
     def flush(self) -> None:
         if self.in_block:
-            packed = zlib.compress(bytes(self.block), 1)
+            packed = self.press.compress(bytes(self.block))
             self.index.append((self.last, self.at, len(packed), self.in_block))
             self.out.write(packed)
             self.at += len(packed)
@@ -131,7 +132,7 @@ class Reader:
     """Looks up keys in, or scans, one shard; f is seekable and read by ranges."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.press = f, zstandard.ZstdDecompressor()
         f.seek(0, io.SEEK_END)
         end = f.tell()
         if end < FOOTER.size:
@@ -157,7 +158,7 @@ class Reader:
 
     def _block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         _, at, size, count = self.index[i]
-        b, at, key = zlib.decompress(self._range(at, size)), 0, b""
+        b, at, key = self.press.decompress(self._range(at, size)), 0, b""
         for _ in range(count):
             shared, at = _read_varint(b, at)
             rest, at = _read_varint(b, at)
@@ -197,12 +198,12 @@ def _write(folder: str, file: str, end_id: int):
         fs.create_dir(base, recursive=True)
         path = f"{base}/{uuid.uuid4().hex}.sst"
         w = out = None
-        for b in common.tables(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in common.merged(common.tables(batches), bpe.ROWS, bpe.BYTES):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1), end), strict=True):
                 if w is None:
                     out = fs.open_output_stream(path)
                     w = Writer(out, width)
-                w.add(key_of(doc), enc.encode(text or "") + end)
+                w.add(key_of(doc), ids)
         if w is not None:
             w.close()
             out.close()

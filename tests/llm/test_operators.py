@@ -18,6 +18,9 @@ TEXTS = [(1, "a b c d e f g h"), (2, " a b\tc d e f g  h"), (3, None), (4, ""),
 SCHEMA = "doc_id long, text string, lang string, n_chars long, size int, digest string, bucket string, label int"
 
 
+_SPELLINGS = ["<|endoftext|> x", "one two  three", " lead", "trail ", "don't we'll", "a", "two words"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(i, t, "en", None, 1, "x", "y", 2) for i, t in TEXTS], SCHEMA)
@@ -107,8 +110,12 @@ def test_chunked_encoding_equals_the_library():
 
     e, tok = bpe.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
     assert np.frombuffer(e.encode("a <|endoftext|> b"), e.dtype).tolist() == [64, 220, 50256, 275]
-    for t in ["<|endoftext|>", "<|endoftext|><|endoftext|> a<|endoftext|>b", "<|endoftext|", "", " ", "  a", "a  b", "a \n b\n\n c", "x\t\ty", "don't we'll", " lead", "trail ", "é è ñ", "a\x1c b", "<|endoftext|> x", "日本 語", "foo\n \nbar", "😀 😀x", "½ ²x"]:
+    for t in _SPELLINGS + ["<|endoftext|>", "<|endoftext|><|endoftext|> a<|endoftext|>b", "<|endoftext|", "", " ", "  a", "a  b", "a \n b\n\n c", "x\t\ty", "don't we'll", " lead", "trail ", "é è ñ", "a\x1c b", "<|endoftext|> x", "日本 語", "foo\n \nbar", "😀 😀x", "½ ²x"]:
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
+    texts = [*_SPELLINGS, None, "w " * 5000 + "x", *(f"{a}{s}{b}" for a in ("a", "a.", " ", "é", "") for s in (" ", "  ", "\n", "\n ", " \n", "\x85 ", "\xa0", "\xa0 ", "\x1d ", "\u2028 ", "\x0b ") for b in ("b", "", " ", "1!"))]
+    for many in (texts, [*texts, "y" * (3 << 20)], [None], [""], ["  "]):
+        got = e.encode_column(bpe.pa.array(many, bpe.pa.string()), b"\0\0")
+        assert [np.frombuffer(x, e.dtype).tolist() for x in got] == [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in many]
 
 
 def test_lattice_sums_all_segmentations(spark, docs, none):
