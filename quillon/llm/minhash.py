@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         pairs = pairs.where(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)).select("a", "b", "sig_a", "sig_b")
         pairs = common.stored(pairs.mapInArrow(_alike(least_equal), "a long, b long"), "pairs")
-        ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        ends = common.stored(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "ends")
         few = ends.count() <= BROADCAST_IDS
         needed = common.stored(texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi"), "texts")
         wide = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             links = links.unionByName(found)
             labels = common.components(links)
     links = links.distinct()
-    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_confirmed"))
+    each = links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).unionByName(links.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n")))
+    counts = each.groupBy("id").agg(F.sum("n").alias("n_confirmed"))
     judged = classes.select("set_key", "copies", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     judged = common.stored(judged.select("set_key", "copies", F.coalesce("label", "id").alias("component_id"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed")), "judged")
     rows_out = common.with_group_winner(known.select("doc_id", "n_shingles", "set_key"), judged, "set_key", "copies", total).select("doc_id", "n_shingles", "component_id", "n_confirmed")

@@ -62,7 +62,7 @@ def _plain(text: bytes) -> bytes:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed at a time, so that both tables of powers stay small.
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 
 
 def _powers(base: int) -> np.ndarray:
