@@ -20,7 +20,8 @@ DROPPED = {"script", "style", "title", "noscript", "template"}
 BLOCK = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "figure", "figcaption", "blockquote", "ul", "ol", "li", "table", "pre", "dl", "dt", "dd", "body", "html", "head", "form", "address"}
 HEADERS = {f"h{i}": i for i in range(1, 7)}
 KEPT_ATTRIBUTES = {"td": ("rowspan", "colspan"), "th": ("rowspan", "colspan"), "a": ("href", "title")}
-_MAX_PASSES = 5
+#: Elements inside one another that are kept apart; deeper ones add nothing to markdown but their text.
+DEPTH = 150
 
 
 class _Node:
@@ -35,6 +36,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("")
         self.open = [self.root]
+        self.shut: dict[str, int] = {}  # elements too deep to be kept apart, by tag
 
     def handle_starttag(self, tag, attrs):
         own = [n.tag for n in self.open]
@@ -48,12 +50,18 @@ class _Builder(HTMLParser):
         node = _Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            if len(self.open) < DEPTH:
+                self.open.append(node)
+            else:
+                self.shut[tag] = self.shut.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].kids.append(_Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
+        if self.shut.get(tag):
+            self.shut[tag] -= 1
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
@@ -182,17 +190,20 @@ def _once(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
+def _left(text: str) -> int:
+    """Signs of tags and entities, which each pass must lessen."""
+    return text.count("<") + text.count("&")
+
+
 def to_markdown(text: str) -> str:
     """Markdown of an HTML string, with a blank line after each header."""
     if "<" not in text:
         out = text
     else:
         out = _once(text)
-        for _ in range(_MAX_PASSES):
-            if not re.search(r"<[a-zA-Z/][^>]*>", re.sub(r"<table>.*?</table>", "", out, flags=re.S)):
-                break
+        while re.search(r"<[a-zA-Z/][^>]*>", re.sub(r"<table>.*?</table>", "", out, flags=re.S)):
             again = _once(out)
-            if again == out:
+            if again == out or _left(again) >= _left(out):
                 break
             out = again
     out = re.sub(r"[ \t]+", " ", re.sub(r"\s*\n\s*", "\n", out.strip()))  # as text read as HTML once more

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -13,6 +13,7 @@ from pyspark.sql import types as S
 IMAGE_TYPES = "bmp|gif|ico|jpg|jpeg|png|svg\\+xml|webp|x-icon"
 WORD = "[\\p{L}\\p{N}_]+"
 _SPACE = "[\\s\\x1c-\\x1f]"
+#: Fixed value: the pattern of links and images.
 LINK = "(?d)\\[?!?\\[(.*?)\\](\\(.*\\)\\])?\\((.*\\..+?)(\\s.*)?\\)"
 
 
@@ -79,6 +80,13 @@ def join_lines(texts: Column) -> Column:
     return squeeze(F.array_join(F.transform(texts, lambda t: F.when(t.startswith("#"), F.concat(F.lit("\n"), t, F.lit("\n"))).otherwise(t)), "\n"))
 
 
+def page_texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of lines: header lines get a blank line on either side. Lines without a page are one page."""
+    line = F.when(F.col("text").startswith("#"), F.concat(F.lit("\n"), "text", F.lit("\n\n"))).otherwise(F.concat("text", F.lit("\n")))
+    parts = F.sort_array(F.collect_list(F.struct("line_idx", line.alias("t"))))
+    return rows.groupBy("doc_id", "page").agg(parts.alias("p")).select("doc_id", "page", squeeze(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("text"))
+
+
 def front_matter(md: Column) -> tuple[Column, Column]:
     """(YAML text or null, body): a block between a first line starting with --- and a later line of just ---."""
     lines = F.split(md, "\n", -1)
@@ -106,21 +114,32 @@ def parse_yaml(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def setext_to_atx(md: Column) -> Column:
-    """Underlined headers become hashed ones. Row-local: a fold gives each line's fence state, and a line is dropped if
-    the next one is its underline."""
-    lines = F.split(md, "\n", -1)
-    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<boolean>").alias("states"))
+@F.pandas_udf(S.StringType())
+def setext_to_atx(md: pd.Series) -> pd.Series:
+    """Underlined headers become hashed ones, outside code blocks; a line goes if the next one is its underline. One
+    pass over the lines of those documents that have an underline."""
+
+    def one(s: str) -> str:
+        if s is None or "\n===" not in s and "\n---" not in s:
+            return s
+        out: list[str] = []
+        code, before = False, ""
+        for line in s.split("\n"):
+            code ^= line.startswith("```") and "```" not in line[3:]
+            mark = "" if code or not before.strip() else {"===": "# ", "---": "## "}.get(line[:3], "")
+            if mark:
+                out[-1] = mark + before
+            else:
+                out.append(line)
+            before = line
+        return "\n".join(out)
+
+    return md.map(one)
 
-    def step(acc: Column, line: Column) -> Column:
-        code = acc["code"] != is_fence(line)
-        return F.struct(code.alias("code"), F.concat(acc["states"], F.array(code)).alias("states"))
 
-    states = F.aggregate(lines, start, step, lambda a: a["states"])
-    rows = F.transform(F.arrays_zip(lines.alias("line"), states.alias("code")), lambda r, i: F.struct(r["line"].alias("line"), F.when(i > 0, F.get(lines, i - 1)).alias("prev"), r["code"].alias("code")))
-    marks = F.transform(rows, lambda r: F.when(r["code"] | r["prev"].isNull() | (strip(r["prev"]) == ""), 0).when(r["line"].startswith("==="), 1).when(r["line"].startswith("---"), 2).otherwise(0))
-    out = F.transform(F.arrays_zip(rows.alias("r"), marks.alias("m")), lambda x, i: F.when(F.coalesce(F.get(marks, i + 1), F.lit(0)) > 0, F.lit(None)).when(x["m"] == 1, F.concat(F.lit("# "), x["r"]["prev"])).when(x["m"] == 2, F.concat(F.lit("## "), x["r"]["prev"])).otherwise(x["r"]["line"]))
-    return F.array_join(F.filter(out, lambda x: x.isNotNull()), "\n")
+@F.pandas_udf(S.StringType())
+def nfkd(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKD", s))
 
 
 def markdown_clean(md: Column) -> tuple[Column, Column]:

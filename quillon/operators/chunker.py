@@ -48,15 +48,15 @@ def sections(rows: DataFrame, max_level: int = 4) -> DataFrame:
     if not 1 <= max_level <= LEVELS:
         raise ValueError("headers have levels 1 to 6")
     w = Window.partitionBy("doc_id").orderBy("line_idx")
-    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy("doc_id").orderBy(F.desc("line_idx")).rowsBetween(Window.unboundedPreceding, -1)  # the lines that follow, nearest last
     rows = rows.withColumn("is_node", F.col("is_header") & (F.col("level") <= max_level))
     rows = rows.withColumn("before", F.sum("n_words").over(upto) - F.col("n_words")).withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id")))
-    ends = {k: F.min(F.when(F.col("is_node") & (F.col("level") <= k), F.col("before"))).over(after) for k in range(1, max_level + 1)}
-    idx_ends = {k: F.min(F.when(F.col("is_node") & (F.col("level") <= k), F.col("line_idx"))).over(after) for k in range(1, max_level + 1)}
-    rows = rows.select("*", *(e.alias(f"end_{k}") for k, e in ends.items()), *(e.alias(f"stop_{k}") for k, e in idx_ends.items()))
+    next_node = F.struct("before", "line_idx")
+    rows = rows.select("*", *(F.last(F.when(F.col("is_node") & (F.col("level") <= k), next_node), True).over(below).alias(f"next_{k}") for k in range(1, max_level + 1)))
     end, stop = F.lit(None), F.lit(None)
     for k in range(1, max_level + 1):
-        end, stop = F.when(F.col("level") == k, F.col(f"end_{k}")).otherwise(end), F.when(F.col("level") == k, F.col(f"stop_{k}")).otherwise(stop)
+        end, stop = F.when(F.col("level") == k, F.col(f"next_{k}.before")).otherwise(end), F.when(F.col("level") == k, F.col(f"next_{k}.line_idx")).otherwise(stop)
     words = F.coalesce(end, F.col("total")) - F.col("before")
     node = F.struct(F.col("line_idx").alias("idx"), F.col("text").alias("text"), words.alias("words"), stop.alias("stop"))
     rows = rows.select("*", *(F.last(F.when(F.col("is_node") & (F.col("level") == k), node), True).over(upto).alias(f"last_{k}") for k in range(1, max_level + 1)))
@@ -64,7 +64,7 @@ def sections(rows: DataFrame, max_level: int = 4) -> DataFrame:
         higher = [F.coalesce(F.col(f"last_{j}.idx"), F.lit(-1)) for j in range(1, k)]
         alive = F.col(f"last_{k}.idx") > _highest(higher) if higher else F.lit(True)
         rows = rows.withColumn(f"open_{k}", F.when(alive, F.col(f"last_{k}")))
-    return rows.drop(*(f"{a}_{k}" for a in ("end", "stop", "last") for k in range(1, max_level + 1)))
+    return rows.drop(*(f"{a}_{k}" for a in ("next", "last") for k in range(1, max_level + 1)))
 
 
 def tree(rows: DataFrame, max_level: int = 4) -> DataFrame:
@@ -77,6 +77,40 @@ def tree(rows: DataFrame, max_level: int = 4) -> DataFrame:
     return r.select("doc_id", F.col("line_idx").alias("section_id"), F.coalesce(F.try_element_at(up, F.lit(-1))["idx"], F.lit(-1)).alias("parent_id"), "level", F.col("text").alias("title"), own["stop"].alias("end_idx"), own["words"].cast("long").alias("subtree_words"), F.transform(up, lambda x: x["text"]).alias("ancestors"))
 
 
+def title_by_id(nodes: DataFrame, doc_id: int, section_id: int) -> DataFrame:
+    """The node of a tree with that id: one row or none."""
+    return nodes.where((F.col("doc_id") == doc_id) & (F.col("section_id") == section_id))
+
+
+def add_child(nodes: DataFrame, doc_id: int, parent_id: int, section_id: int, title: str, level: int, words: int = 0) -> DataFrame:
+    """The tree with one more node below parent_id (-1: the root). Subtree words of all nodes above it grow."""
+    spark = nodes.sparkSession
+    up = title_by_id(nodes, doc_id, parent_id).select(F.concat("ancestors", F.array("title")).alias("ancestors"), F.lit(1).alias("k"))
+    own = spark.createDataFrame([(doc_id, section_id, parent_id, level, title, None, words)], "doc_id long, section_id int, parent_id int, level int, title string, end_idx int, subtree_words long")
+    own = own.withColumn("k", F.lit(1)).join(F.broadcast(up), "k", "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))
+    path, at = set(), parent_id
+    while at >= 0:  # a header tree has six levels at most
+        row = title_by_id(nodes, doc_id, at).first()
+        if row is None:
+            raise ValueError(f"document {doc_id} has no section {at}")
+        path.add(at)
+        at = row["parent_id"]
+    above = (F.col("doc_id") == doc_id) & F.col("section_id").isin(path)
+    grown = nodes.withColumn("subtree_words", F.when(above, F.col("subtree_words") + words).otherwise(F.col("subtree_words")))
+    return grown.unionByName(own.select([F.col(c).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]))
+
+
+def section_texts(rows: DataFrame, max_level: int = 4, content_only: bool = False) -> DataFrame:
+    """(doc_id, section_id, text): a section's own lines up to the next header, after its title and a blank line."""
+    r = sections(rows, max_level)
+    opened = F.filter(F.array(*(F.col(f"open_{k}") for k in range(1, max_level + 1))), lambda x: x.isNotNull())
+    r = r.withColumn("section_id", F.coalesce(F.try_element_at(opened, F.lit(-1))["idx"], F.lit(-1)))
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_node"), F.struct("line_idx", "text")))), lambda x: x["text"]), "\n")
+    g = r.groupBy("doc_id", "section_id").agg(F.first(F.when(F.col("is_node"), F.col("text")), True).alias("title"), own.alias("content"))
+    head = F.lit("") if content_only else F.when(F.col("title").isNotNull(), F.concat("title", F.lit("\n\n"))).otherwise("")
+    return g.select("doc_id", "section_id", T.strip(F.concat(head, "content")).alias("text"))
+
+
 def soft_chunks(rows: DataFrame, soft: int = 200, max_level: int = 4) -> DataFrame:
     """doc_id, start_line, headers and content (arrays of lines), by the soft limit alone."""
     r = sections(rows, max_level)

@@ -6,13 +6,15 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import chunker as C
-from ..operators import classify, layout, tables
+from ..operators import classify, document, layout, tables
+from ..operators.groups import map_groups
 from ..sources import parsers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +77,8 @@ def strip_base64(spark, sf):
     return _docs(spark, sf).select("doc_id", T.strip(T.cleanup(F.concat(image, "md", image))).alias("md"))
 
 
-@query(r"""SELECT doc_id, string_agg(CASE i % 3 WHEN 0 THEN l WHEN 1 THEN 'see' || i || ' and ' || l ELSE 'pic ' || l END, chr(10) ORDER BY i) AS md
+@query(r"""SELECT doc_id, regexp_replace(string_agg(CASE i % 3 WHEN 0 THEN l WHEN 1 THEN '[see' || i || '](http://a.b/c) and ' || l ELSE '![pic](x.png ''title'') ' || l END, chr(10) ORDER BY i),
+    '\[?!?\[(.*?)\](\(.*\)\])?\((.*\..+?)(\s.*)?\)', '\1', 'g') AS md
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) GROUP BY doc_id""")
 def remove_links(spark, sf):
     one = lambda l, i: F.when(i % 3 == 0, l).when(i % 3 == 1, F.concat(F.lit("[see"), i.cast("string"), F.lit("](http://a.b/c) and "), l)).otherwise(F.concat(F.lit("![pic](x.png 'title') "), l))  # noqa: E731,E741
@@ -206,28 +209,44 @@ def token_chunks(spark, sf):
     return g.select("doc_id", F.col("start_line").cast("long").alias("start_line"), "pieces", "n_lines")
 
 
-@query(r"""SELECT n_regionkey AS doc_id, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY n_regionkey""")
+@query(r"""WITH w AS (SELECT n_regionkey, greatest(length('n_nationkey') + 2, max(length(n_nationkey::VARCHAR))) AS a, greatest(length('n_name') + 2, max(length(n_name))) AS b FROM nation GROUP BY n_regionkey),
+  l AS (SELECT n_regionkey, n_nationkey AS k, '| ' || lpad(n_nationkey::VARCHAR, a::INT, ' ') || ' | ' || rpad(n_name, b::INT, ' ') || ' |' AS l FROM nation JOIN w USING (n_regionkey))
+  SELECT n_regionkey AS doc_id, regexp_replace(regexp_replace('| ' || lpad('n_nationkey', any_value(a)::INT, ' ') || ' | ' || rpad('n_name', any_value(b)::INT, ' ') || ' |' || chr(10) || '|' || repeat('-', (any_value(a) + 1)::INT) || ':|:' || repeat('-', (any_value(b) + 1)::INT) || '|' || chr(10)
+    || string_agg(l, chr(10) ORDER BY k), '\s{3,}', '  ', 'g'), '-{3,}', '---', 'g') AS md FROM l JOIN w USING (n_regionkey) GROUP BY n_regionkey""")
 def rows_to_pipe_table(spark, sf):
-    n = _t(spark, sf, "nation")
-    line = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
-    g = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", line("n_nationkey", "n_name").alias("l")))).alias("r"))
-    return g.select("doc_id", F.concat(F.lit("| n_nationkey | n_name |\n|---|---|\n"), F.array_join(F.transform("r", lambda x: x["l"]), "\n")).alias("md"))
+    return parsers.parse_csv(_csv_docs(_t(spark, sf, "nation"), "n_regionkey", ["n_nationkey", "n_name"]), "markdown_table", ",").select("doc_id", "md")
+
+
+def _csv_docs(df: DataFrame, doc_id: str, columns: list[str]) -> DataFrame:
+    """A CSV document for each value of a column, rows in order of the first of the columns."""
+    line = F.struct(F.col(columns[0]).alias("k"), F.concat_ws(",", *columns).alias("l"))
+    g = df.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(line)).alias("r"))
+    return g.select("doc_id", F.concat(F.lit(",".join(columns) + "\n"), F.array_join(F.transform("r", lambda x: x["l"]), "\n")).alias("raw"))
 
 
 @query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_size":' || p_size || ',"missing":null}' AS line FROM part""")
 def csv_to_jsonl(spark, sf):
-    p = _t(spark, sf, "part")
-    return p.select("p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_size", F.lit(None).cast("string").alias("missing")), {"ignoreNullFields": "false"}).alias("line"))
+    docs = _csv_docs(_t(spark, sf, "part").withColumn("missing", F.lit("")), "p_size", ["p_partkey", "p_name", "p_size", "missing"])
+    lines = parsers.parse_csv(docs, "json_lines", ",").select(F.explode(F.split("md", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.get_json_object("line", "$.p_partkey").cast("long").alias("p_partkey"), "line")
 
 
-@query("""WITH r AS (SELECT o_custkey, 3 + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS k FROM orders)
-  SELECT o_custkey, round(sum(k) / (5.0 * count(*)), 6) AS density, round(1 - stddev_samp(k) / avg(k), 6) AS evenness, count(*) >= 2 AND sum(k) / (5.0 * count(*)) >= 0.6 AND 1 - stddev_samp(k) / avg(k) >= 0.7 AS csv_like FROM r GROUP BY o_custkey HAVING count(*) > 1""")
+@query("""WITH r AS (SELECT o_custkey, 3 + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS k FROM orders),
+  g AS (SELECT o_custkey, sum(k) / (5.0 * count(*)) AS d, 0.6 + 0.2 * (o_custkey % 3) AS h, 1 - stddev_samp(k) / avg(k) AS e FROM r GROUP BY o_custkey HAVING count(*) > 1)
+  SELECT o_custkey, round(d, 6) AS density, round(h, 6) AS named, round(e, 6) AS evenness, d >= 0.6 AND o_custkey % 3 > 0 AND e >= 0.7 AS csv_like FROM g""")
 def csv_like_score(spark, sf):
-    o = _t(spark, sf, "orders")
-    k = 3 + F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1) + F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(1)
-    g = o.select("o_custkey", k.alias("k")).groupBy("o_custkey").agg(F.sum("k").alias("s"), F.count("*").alias("n"), F.stddev_samp("k").alias("sd"), F.avg("k").alias("m")).where("n > 1")
-    density, even = F.col("s") / (5.0 * F.col("n")), 1 - F.col("sd") / F.col("m")
-    return g.select("o_custkey", F.round(density, 6).alias("density"), F.round(even, 6).alias("evenness"), ((F.col("n") >= 2) & (density >= 0.6) & (even >= 0.7)).alias("csv_like"))
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, 1).alias("a"), F.when(F.col("o_orderkey") % 5 != 0, 1).alias("b"))
+
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        blank = 2 - key[0] % 3  # columns without a name
+        names = ["key", "one", "two", "three", "four"][: 5 - blank] + [f"Unnamed: {i}" for i in range(blank)]
+        df = pd.DataFrame([(k, 1, 1, a, b) for k, a, b in rows], columns=names)
+        density, named, even = parsers.csv_measures(df)
+        return [(key[0], round(float(density), 6), round(float(named), 6), round(float(even), 6), parsers.csv_like(df))]
+
+    return map_groups(o, ["o_custkey"], ["o_orderkey"], one, "o_custkey long, density double, named double, evenness double, csv_like boolean")
 
 
 @query("""SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '```python' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) ELSE text || chr(10) || chr(10) END, '' ORDER BY turn, role, text) AS md FROM conversations GROUP BY conv_id""")
@@ -266,7 +285,7 @@ def html_chunks(spark, sf):
 
 #: A span per line: 40 lines a page; line 0 of a page is a heading in a larger font at a fixed place.
 _SPANS = r"""sp AS (SELECT doc_id, (i // 40)::INT AS page, i::INT AS "order", 50.0 + 10 * (i % 3) AS x0, 20.0 + 14 * (i % 40) + CASE WHEN i % 40 > 20 THEN 9 ELSE 0 END AS y0,
-    50.0 + 10 * (i % 3) + 4 * length(t) AS x1, 32.0 + 14 * (i % 40) + CASE WHEN i % 40 > 20 THEN 9 ELSE 0 END AS y1, t AS text,
+    50.0 + 10 * (i % 3) + 4 * length(t) AS x1, 32.0 + 14 * (i % 40) + CASE WHEN i % 40 > 20 THEN 9 ELSE 0 END AS y1, t AS text, trim(t) AS tt,
     CASE WHEN i % 40 = 0 THEN 18.0 WHEN i % 11 = 5 THEN 14.0 ELSE 10.0 END AS size, CASE WHEN i % 7 = 3 THEN 16 ELSE 0 END AS flags
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))"""
 
@@ -286,8 +305,10 @@ def header_footer_flags(spark, sf):
 
 _LINES = _SPANS + """, li AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY "order")::INT AS line_id FROM
     (SELECT *, CASE WHEN lag(y1) OVER w IS NULL THEN 1 WHEN abs(y1 - lag(y1) OVER w) > greatest(3.0, 0.25 * lag(y1 - y0) OVER w) THEN 1 ELSE 0 END AS s FROM sp WINDOW w AS (PARTITION BY doc_id, page ORDER BY "order"))),
-  sg AS (SELECT doc_id, mode_gap AS spacing FROM (SELECT doc_id, gap AS mode_gap, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gap) AS r FROM
-    (SELECT doc_id, round(y0 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY "order"), 1) AS gap FROM li) WHERE gap >= 0 GROUP BY doc_id, gap) WHERE r = 1)"""
+  bs AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min("order")) AS r FROM li WHERE tt <> '' GROUP BY doc_id, size) WHERE r = 1),
+  gp AS (SELECT doc_id, "order", size, round(y0 - lag(y1) OVER w, 1) AS gap, lag(size) OVER w AS s, y0 >= lag(y0) OVER w AS down FROM li WINDOW w AS (PARTITION BY doc_id ORDER BY "order")),
+  sg AS (SELECT doc_id, gap AS spacing FROM (SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(size = body AND s = body, false) DESC, count(*) DESC, min("order")) AS r
+    FROM gp LEFT JOIN bs USING (doc_id) WHERE down GROUP BY doc_id, gap, coalesce(size = body AND s = body, false)) WHERE r = 1)"""
 
 
 @query(f'WITH {_LINES} SELECT doc_id, "order", page, line_id FROM li')
@@ -304,16 +325,24 @@ def line_spacing_mode(spark, sf):
     return layout.line_spacing(_line_table(spark, sf))
 
 
-@query(f"""WITH {_LINES} SELECT doc_id, "order", sum(s) OVER (PARTITION BY doc_id ORDER BY "order")::INT AS block_id FROM
-  (SELECT li.doc_id, "order", coalesce(trim(lag(text) OVER w) = '' OR lag(size) OVER w <> size OR y0 - lag(y1) OVER w > coalesce(spacing, 0) + 2 OR y1 < lag(y0) OVER w, true)::INT AS s
-   FROM li LEFT JOIN sg ON sg.doc_id = li.doc_id WINDOW w AS (PARTITION BY li.doc_id ORDER BY "order"))""")
+_BLOCKED = _LINES + """, lb AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY "order")::INT AS block_id FROM
+  (SELECT li.* EXCLUDE (s), coalesce(lag(tt) OVER w = '' OR lag(size) OVER w <> size OR y0 - lag(y1) OVER w > coalesce(spacing, 0) + 2 OR y1 <= lag(y0) OVER w, true)::INT AS s
+   FROM li LEFT JOIN sg ON sg.doc_id = li.doc_id WINDOW w AS (PARTITION BY li.doc_id ORDER BY "order")))"""
+
+
+@query(f'WITH {_BLOCKED} SELECT doc_id, "order", block_id FROM lb')
 def line_blocks(spark, sf):
     r = _line_table(spark, sf)
     return layout.blocks(r, layout.line_spacing(r)).select("doc_id", "order", "block_id")
 
 
-_FONTS = _LINES + """, fo AS (SELECT doc_id, list(size::INT ORDER BY size) FILTER (WHERE n > 0.1 * al) AS sizes, max(bo) > 0.3 * max(al) AS body_bold FROM
-  (SELECT doc_id, size, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS al, sum(count(*) FILTER (WHERE flags = 16)) OVER (PARTITION BY doc_id) AS bo FROM li GROUP BY doc_id, size) GROUP BY doc_id)"""
+_FONTS = _BLOCKED + """, fz AS (SELECT doc_id, size::INT AS size, count(*) FILTER (WHERE tt <> '') AS n, count(*) FILTER (WHERE tt <> '' AND flags = 16) AS b, sum(count(*)) OVER (PARTITION BY doc_id) AS al FROM li GROUP BY doc_id, size),
+  fo AS (SELECT doc_id, coalesce(list(size ORDER BY size) FILTER (WHERE n > 0.1 * al), []) AS sizes, coalesce(list(size ORDER BY size) FILTER (WHERE n > 0), []) AS all_sizes,
+    coalesce(sum(b) FILTER (WHERE n > 0.1 * al), 0) > 0.3 * coalesce(sum(n) FILTER (WHERE n > 0.1 * al), 0) AS body_bold FROM fz GROUP BY doc_id),
+  bk AS (SELECT doc_id, block_id, min("order") AS "order", any_value(size)::INT AS size, string_agg(tt, ' ' ORDER BY "order") AS text, bool_and(flags = 16 OR tt = '') AS bold, bool_and(tt = '') AS empty FROM lb GROUP BY doc_id, block_id),
+  ab AS (SELECT bk.*, list_max(sizes) AS big, body_bold, len([x FOR x IN all_sizes IF x > list_max(sizes)]) AS above, len([x FOR x IN all_sizes IF x >= size]) AS rank FROM bk JOIN fo USING (doc_id) WHERE NOT empty AND length(text) <= 100 AND len(sizes) > 0),
+  lv AS (SELECT doc_id, block_id, "order", CASE WHEN regexp_matches(text, '^\\d+[\\s.)]+\\d+[\\s.)]+\\d+') THEN 3 WHEN regexp_matches(text, '^\\d+[\\s.)]+\\d+') THEN 2 WHEN regexp_matches(text, '^\\d+') THEN 1
+      WHEN size > big THEN rank ELSE least(above, 5) + 1 END::BIGINT AS level FROM ab WHERE (size > big AND rank <= 5) OR (size = big AND bold AND NOT body_bold))"""
 
 
 @query(f"WITH {_FONTS} SELECT doc_id, array_to_string(sizes, ',') AS sizes, body_bold FROM fo")
@@ -322,13 +351,14 @@ def font_body_sizes(spark, sf):
     return r.select("doc_id", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"), "body_bold")
 
 
-@query(f"""WITH {_FONTS}, j AS (SELECT li.*, list_max(sizes) AS big, body_bold FROM li JOIN fo USING (doc_id) WHERE length(text) <= 100 AND trim(text) <> ''),
-  a AS (SELECT doc_id, "order", dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS level FROM j WHERE size > big),
-  b AS (SELECT * FROM a WHERE level <= 5), m AS (SELECT doc_id, max(level) AS deepest FROM b GROUP BY doc_id)
-  SELECT doc_id, "order", level::BIGINT AS level FROM b UNION ALL SELECT j.doc_id, "order", coalesce(deepest, 0) + 1 FROM j LEFT JOIN m USING (doc_id) WHERE size = big AND flags = 16 AND NOT body_bold""")
-def font_levels(spark, sf):
+def _blocks(spark, sf):
     r = _line_table(spark, sf)
-    return layout.size_levels(r, layout.body_fonts(r)).select("doc_id", "order", F.col("level").cast("long").alias("level"))
+    return layout.block_table(layout.blocks(r, layout.line_spacing(r))), layout.body_fonts(r)
+
+
+@query(f'WITH {_FONTS} SELECT doc_id, "order", level FROM lv')
+def font_levels(spark, sf):
+    return layout.size_levels(*_blocks(spark, sf)).select("doc_id", "order", F.col("level").cast("long").alias("level"))
 
 
 @query(r"""SELECT l_orderkey AS doc_id, title, page, level FROM (SELECT l_orderkey, l_linenumber::INT || '.' || (l_linenumber % 3)::INT || ' part ' || l_partkey AS title, (l_suppkey % 90)::INT AS page, 2 AS level FROM lineitem)""")
@@ -440,8 +470,25 @@ def title_fuzzy_match(spark, sf):
     return layout.match_titles(titles, r)
 
 
-@query()
+_MARKDOWN = _FONTS + r""", pc AS (SELECT doc_id, block_id, "order", tt, CASE WHEN flags = 16 AND tt <> '' THEN '**' || tt || '**' ELSE tt END AS md,
+    starts_with(tt, '- ') OR regexp_matches(tt, '^\s*(\d+[.)]\s+|[a-zA-Z][.)]\s+|\([a-zA-Z0-9ivxlIVXL]+\)\s+)') AS alone FROM lb),
+  pn AS (SELECT *, coalesce(NOT starts_with(lag(tt) OVER w, '- ') AND NOT alone AND ends_with(lag(md) OVER w, '-') AND regexp_matches(tt, '^\p{Ll}'), false) AS goes FROM pc WINDOW w AS (PARTITION BY doc_id, block_id ORDER BY "order")),
+  pp AS (SELECT *, lead(goes, 1, false) OVER (PARTITION BY doc_id, block_id ORDER BY "order") AS cut FROM pn),
+  bm AS (SELECT doc_id, block_id, min("order") AS "order", trim(string_agg(CASE WHEN alone THEN chr(10) || chr(10) WHEN goes THEN '' ELSE ' ' END || CASE WHEN cut THEN md[:-2] ELSE md END || CASE WHEN alone AND NOT cut THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY "order"), ' ' || chr(10)) AS md FROM pp GROUP BY doc_id, block_id),
+  bt AS (SELECT bm.doc_id, bm."order", trim(regexp_replace(replace(regexp_replace(CASE WHEN md <> '' AND level IS NOT NULL THEN repeat('#', (level + 1)::INT) || ' ' || md ELSE md END, '\*\* *\*\*', ' ', 'g'), ' ** ', '**' || chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t
+    FROM bm LEFT JOIN lv USING (doc_id, block_id))"""
+
+
+@query(f"""WITH {_MARKDOWN} SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY "order") AS md FROM bt WHERE t <> '' GROUP BY doc_id""")
 def spans_to_markdown(spark, sf):
-    r = _line_table(spark, sf)
-    fonts = layout.body_fonts(r)
-    return layout.markdown(layout.blocks(r, layout.line_spacing(r)), layout.size_levels(r, fonts))
+    blocks, fonts = _blocks(spark, sf)
+    return layout.markdown(layout.items(blocks, layout.size_levels(blocks, fonts)))
+
+
+@query()
+def spans_to_chunks(spark, sf):
+    d = _docs(spark, sf).select("doc_id")
+    pages = synth_spans(spark, sf).groupBy("doc_id").agg((F.max("page") + 1).alias("page_count")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page"), F.lit(600.0).alias("width"), F.lit(600.0).alias("height"), "page_count")
+    parsed = document.parse(synth_spans(spark, sf), drawings=synth_segments(spark, sf).join(d, "doc_id"), pages=pages)
+    r = C.MarkdownChunker().chunk(parsed.line_rows())
+    return r.select("doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"), F.col("word_count").cast("long").alias("word_count"), "text")

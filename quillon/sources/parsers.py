@@ -146,14 +146,20 @@ def sheet_to_pipe_table(df: pd.DataFrame) -> str:
     return re.sub(r"-{3,}", "---", re.sub(r"\s{3,}", "  ", H.pipe_table([str(c) for c in df.columns], rows)))
 
 
+def csv_measures(df: pd.DataFrame) -> tuple[float, float, float]:
+    """Density of values, share of named columns, and evenness of the rows' lengths."""
+    per = df.count(axis=1)
+    named = sum(bool(str(c).strip()) and not str(c).startswith("Unnamed") for c in df.columns if c)
+    mean = per.mean()
+    return df.count().sum() / df.size, named / len(df.columns), 1 - per.std() / mean if mean > 0 else 0.0
+
+
 def csv_like(df: pd.DataFrame) -> bool:
     """Dense, with named columns, and rows of like length."""
     if len(df) < 2 or not len(df.columns):
         return False
-    per = df.count(axis=1)
-    named = sum(bool(str(c).strip()) and not str(c).startswith("Unnamed") for c in df.columns if c)
-    even = 1 - per.std() / per.mean() if per.mean() > 0 else 0
-    return bool(df.count().sum() / df.size >= 0.6 and named / len(df.columns) >= 0.8 and even >= 0.7)
+    density, named, even = csv_measures(df)
+    return bool(density >= 0.6 and named >= 0.8 and even >= 0.7)
 
 
 def _render(df: pd.DataFrame, how: str) -> str:
@@ -283,18 +289,38 @@ ENVELOPE = S.StructType([S.StructField(n, t) for n, t in (("@type", S.StringType
 SNAKE = {"@type": "type", "@context": "context", "fileFormat": "file_format", "dateCreated": "date_created", "dateModified": "date_modified", "hasPart": "has_part", "pageStart": "page_start", "pageEnd": "page_end"}
 
 
-def parse_envelope(docs: DataFrame) -> DataFrame:
-    """Only the first part is read, as markdown or HTML by fileFormat; other formats fail."""
-    r = docs.withColumn("e", F.from_json("raw", ENVELOPE, {"mode": "FAILFAST"})).withColumn("first", F.get(F.col("e.hasPart"), F.lit(0))["text"])
+def parse_envelope(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """Only the first part is read, as markdown or HTML by fileFormat. A document that is no such envelope has an error
+    and no md, and does not stop the others; strict makes it an exception."""
+    schema = S.StructType([*ENVELOPE.fields, S.StructField("_bad", S.StringType())])
+    r = docs.withColumn("e", F.from_json("raw", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("first", F.get(F.col("e.hasPart"), F.lit(0))["text"])
     kind = F.col("e.fileFormat")
-    yaml, md = T.markdown_clean(F.col("first"))
-    html = T.cleanup_html(H.html_to_markdown(F.when(kind == "text/html", F.col("first"))))
-    bad = F.raise_error(F.concat(F.lit("unknown fileFormat: "), F.coalesce(kind, F.lit("null")))).cast("string")
-    return r.select("doc_id", F.when(kind == "text/markdown", md).when(kind == "text/html", html).otherwise(bad).alias("md"), T.parse_yaml(F.when(kind == "text/markdown", yaml)).alias("metadata"))
+    error = (
+        F.when(F.col("raw").isNull(), F.lit("no document"))
+        .when(F.col("e").isNull() | F.col("e._bad").isNotNull(), F.lit("not an envelope in JSON"))
+        .when(F.col("first").isNull(), F.lit("no first part with text"))
+        .when(kind.isNull(), F.lit("no fileFormat"))
+        .when(~kind.isin("text/markdown", "text/html"), F.concat(F.lit("unknown fileFormat: "), kind))
+    )
+    r = r.withColumn("error", error).withColumn("kind", F.when(error.isNull(), kind))
+    if strict:
+        r = r.withColumn("kind", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("kind")))
+    yaml, md = T.markdown_clean(F.when(F.col("kind") == "text/markdown", F.col("first")))
+    html = T.cleanup_html(H.html_to_markdown(F.when(F.col("kind") == "text/html", F.col("first"))))
+    return r.select("doc_id", F.coalesce(md, html).alias("md"), T.parse_yaml(yaml).alias("metadata"), "error")
+
+
+def parse_pdf(docs: DataFrame, parser=None, **options) -> DataFrame:
+    """Lines of PDF documents, by a parser that has a decoder."""
+    if parser is None:
+        raise ParserError("PDF bytes need a document.PdfParser with a decoder")
+    return parser.parse(docs, **options)
 
 
 PARSERS = {"markdown": parse_markdown, "html": parse_html, "docx": parse_docx, "csv": parse_csv, "excel": parse_excel, "notebook": parse_notebook, "json": parse_envelope}
 
 
 def parsed_lines(docs: DataFrame, kind: str, **options) -> DataFrame:
+    if kind == "pdf":
+        return parse_pdf(docs, **options)
     return chunker.lines(PARSERS[kind](docs, **options))
