@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Chunks that a worker remembers, at about 150 bytes each; past it the memory starts anew.
 MEMORY = 800_000
 #: Rows and bytes that are encoded together, about.
@@ -30,7 +32,6 @@ _ODD = r"^ |[\t-\r\x1c-\x1f\x{85}\p{Z}](?: |$)"
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Fixed value: the pre-token pattern of byte-level BPE, for ASCII text; other chunks are left to the library.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_encoders: dict[str, "Encoder"] = {}
 
 
 def _letters() -> dict[int, str]:
@@ -159,8 +160,7 @@ class Encoder:
 
 
 def encoder(file: str) -> Encoder:
-    """One encoder per worker and file; worker processes are reused, so its memory outlives a task."""
+    """One encoder per worker and file; worker processes are reused, so its memory outlives a task, until another operator
+    runs there."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+    return common.remembered(f"bpe {file}", lambda: Encoder(file))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -97,6 +99,31 @@ def arrow_rows(spark: SparkSession, n: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
+#: What the operator that ran last has left in this worker for its next tasks, by name.
+_remembered: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker holds under a name, made at first. A worker runs the tasks of many operators in turn and lives as
+    long as they keep coming, so whatever it holds under other names goes first."""
+    if name not in _remembered:
+        forget()
+        _remembered[name] = make()
+    return _remembered[name]
+
+
+def forget() -> None:
+    """Let go of what other operators have left in this worker, and give its memory back to the system, where Python and
+    Arrow would keep it. Operators that remember nothing begin with this."""
+    if not _remembered:
+        return
+    _remembered.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path (file, hdfs, s3, gs, abfs), for the files that Spark has no format for."""
     return pafs.FileSystem.from_uri(uri if urlparse(uri).scheme else "file://" + uri)

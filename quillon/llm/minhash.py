@@ -6,8 +6,10 @@ coordinate k. Documents with equal sets become one class. Classes that share a b
 
 No bucket emits all its pairs. In the buckets of the first bands the smallest member is tested against every other;
 members that this links are one component. Only where a bucket still holds several components are further pairs tested:
-the next pivot is the smallest member outside the first component, then those pairs that still cross components and
-that the shingles which only one of these sets has do not rule out.
+the next pivot is the smallest member outside the first component, and in buckets of more than LARGE each member is also
+tested against its next few in a drawn order; then those pairs that still cross components and that the shingles which
+only one of these sets has do not rule out. The order drops no pair: it joins most of a large group of near copies by a
+few links a member, so that few pairs of it are left to cross.
 Every test is preceded by exact bounds on the sizes and on the symmetric difference, and by the count of equal
 coordinates, from which SIGMAS standard deviations are allowed below the threshold. Bands and rows follow from the
 threshold: a pair at it shares no band with a probability of MISS at most (independent coordinates). The symmetric
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,6 +44,9 @@ BLOCK = 1000
 CELLS = 1024
 #: Bands whose buckets are tested against their smallest member first; most others then hold one component already.
 FIRST_BANDS = 4
+#: Buckets of more than LARGE members are cut into rings of RING or so, each with an order, in which a member is tested
+#: against the NEXT after it.
+LARGE, RING, NEXT = 8, 100, 4
 #: Ids that may be broadcast to fetch texts (a few MB); beyond it, ids and texts meet by a shuffle.
 BROADCAST_IDS = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -116,6 +121,7 @@ def may_link(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent:
 
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for b in common.tables(batches):
             n, keys, sigs, buckets, bits = [], [], [], [], []
             for text in common.as_bytes(b.column(1)):
@@ -142,6 +148,7 @@ def _alike(least: float):
     """Pairs whose share of equal coordinates is least or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for b in batches:
             t = pa.Table.from_batches([b])
             keep = []
@@ -154,6 +161,7 @@ def _alike(least: float):
 
 def _verify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         last: dict[str, tuple[int | None, np.ndarray]] = {"a": (None, None), "b": (None, None)}
         for b in common.tables(batches):
             cols = {k: b.column(i) for i, k in enumerate(("a", "b", "text_a", "text_b"))}
@@ -177,6 +185,7 @@ def _verify(width: int):
 
 def _explode(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for b in common.tables(batches, 1 << 20):
             sets = [shingles(t, width) for t in common.as_bytes(b.column(1))]
             ids = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(x) for x in sets])
@@ -254,7 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             pairs = named.join(other, ["bucket", "block"]).where((F.col("a") < F.col("id")) & (F.col("label") != F.col("label_a")) & (most * 100 >= least * percent) & may_link(F.col("n_a"), F.col("bits_a"), F.col("n"), F.col("bits"), percent))
         else:
             pivots = common.stored(named.where("label > lo").groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("p"), F.max("k").alias("k")).select("bucket", F.col("p.id").alias("a"), F.col("p.label").alias("label_a"), F.col("k").alias("size")), "pivots")
-            pairs = common.with_group_winner(named, pivots, "bucket", "size", named.count()).where("id <> a AND label <> label_a")
+            pairs = common.with_group_winner(named, pivots, "bucket", "size", named.count()).where("id <> a AND label <> label_a").select("id", "a")
+            rings = named.where(F.col("k") > LARGE).join(narrow.select("id", "n", "bits"), "id").withColumn("ring", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / RING)))
+            after = Window.partitionBy("bucket", "ring").orderBy(F.xxhash64("id", "bucket"), "id").rowsBetween(1, NEXT)
+            rings = rings.withColumn("after", F.collect_list(F.struct("id", "label", "n", "bits")).over(after))
+            near = F.filter("after", lambda x: (x["label"] != F.col("label")) & may_link(F.col("n"), F.col("bits"), x["n"], x["bits"], percent))
+            pairs = pairs.unionByName(rings.select("id", F.explode(F.transform(near, lambda x: x["id"])).alias("a")).where("id <> a"))
         pairs = common.stored(ordered(pairs).join(done, ["a", "b"], "left_anti"), "more")
         done = done.unionByName(pairs)
         members = named.select("id", "bucket")

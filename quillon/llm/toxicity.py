@@ -239,14 +239,8 @@ class Model:
         return 1 / (1 + math.exp(-float(np.dot(self.beta, self.measures(text)))))
 
 
-_memories: dict[str, dict[bytes, float]] = {}
-
-
 def _memory(key: str) -> dict[bytes, float]:
-    if key not in _memories:
-        _memories.clear()
-        _memories[key] = {}
-    return _memories[key]
+    return common.remembered(f"toxicity {key}", dict)
 
 
 def _toxic_features(logs):
