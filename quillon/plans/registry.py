@@ -6,7 +6,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,9 +241,8 @@ def csv_like_score(spark, sf):
             return []
         blank = 2 - key[0] % 3  # columns without a name
         names = ["key", "one", "two", "three", "four"][: 5 - blank] + [f"Unnamed: {i}" for i in range(blank)]
-        df = pd.DataFrame([(k, 1, 1, a, b) for k, a, b in rows], columns=names)
-        density, named, even = parsers.csv_measures(df)
-        return [(key[0], round(float(density), 6), round(float(named), 6), round(float(even), 6), parsers.csv_like(df))]
+        measures = parsers.row_measures(names, [5 - row.count(None) for row in rows])
+        return [(key[0], *(round(x, 6) for x in measures), parsers.measures_like(*measures))]
 
     return map_groups(o, ["o_custkey"], ["o_orderkey"], one, "o_custkey long, density double, named double, evenness double, csv_like boolean")
 
