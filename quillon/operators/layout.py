@@ -6,12 +6,16 @@ PDF bytes is left to whatever makes that table. Everything shares partitions by
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .groups import map_groups
@@ -296,6 +300,12 @@ def ratio(a: str, b: str) -> int:
     """Similarity in per cent by insertions and deletions: twice the longest common subsequence over both lengths."""
     if not a and not b:
         return 100
+    size, ends = len(a) + len(b), 0
+    if a[:1] == b[:1] or a[-1:] == b[-1:]:  # equal ends belong to every longest subsequence
+        head = len(os.path.commonprefix((a, b)))
+        a, b = a[head:], b[head:]
+        tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+        a, b, ends = a[: len(a) - tail], b[: len(b) - tail], head + tail
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
@@ -303,29 +313,122 @@ def ratio(a: str, b: str) -> int:
     for x in b:
         u = v & places.get(x, 0)
         v = (v + u | v - u) & full
-    return round(200 * (len(a) - v.bit_count()) / (len(a) + len(b)))
-
-
-@F.pandas_udf(S.IntegerType())
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return round(200 * (ends + len(a) - v.bit_count()) / size)
+
+
+class _Page:
+    """The lines of a page: the first row of each text, and of each first line, and texts by length."""
+
+    def __init__(self, at: int) -> None:
+        self.at, self.first, self.line, self.lengths = at, {}, {}, {}
+        self._counts: dict[str, dict[str, int]] = {}
+
+    def add(self, order: int, first: str | None, line: str | None) -> None:
+        if first is not None and order < self.first.get(first, order + 1):
+            self.first[first] = order
+        if line is None:
+            return
+        if line not in self.line:
+            self.lengths.setdefault(len(line), []).append(line)
+        if order < self.line.get(line, order + 1):
+            self.line[line] = order
+
+    def counts(self, line: str) -> dict[str, int]:
+        got = self._counts.get(line)
+        if got is None:
+            got = self._counts[line] = Counter(line)
+        return got
+
+
+def _most_similar(title: str, pages: list[_Page], least: int) -> tuple[int, int] | None:
+    """(ratio, order) of the row most like a title, of equals the least order. Lengths, then counts of characters, bound
+    the ratio from above, so a row is compared only if it may be the answer."""
+    n, best, own = len(title), None, None
+    near = [(100 if n + m == 0 else round(200 * min(n, m) / (n + m)), p, m) for p in pages for m in p.lengths]
+    for bound, p, m in sorted((x for x in near if x[0] >= least), key=lambda x: -x[0]):
+        if best and bound < best[0]:
+            break
+        for line in p.lengths[m]:
+            order = p.line[line]
+            if best and bound == best[0] and order >= best[1]:
+                continue
+            if best or m + n > 60:
+                own = Counter(title) if own is None else own
+                has = p.counts(line)
+                top = 100 if n + m == 0 else round(200 * sum(min(k, has.get(c, 0)) for c, k in own.items()) / (n + m))
+                if top < least or best and (top < best[0] or top == best[0] and order >= best[1]):
+                    continue
+            got = ratio(title, line)
+            if got >= least and (not best or got > best[0] or got == best[0] and order < best[1]):
+                best = (got, order)
+    return best
+
+
+#: Pages of a document that are dealt out together; the pages beside them go along.
+PAGES_TOGETHER = 64
 
 
 def nearest(titles: DataFrame, rows: DataFrame, least: int = 75) -> DataFrame:
     """titles: doc_id, nth, title, page; rows: doc_id, page, order, first, text -> (doc_id, nth, order, ratio) of the row
     that each title names on the pages page - 1 to page + 1: one whose first line is equal (ratio 101), else the most
-    similar of least or more; of equals the first. Equal ones are found by an equality join; only the titles left are
-    compared with every row of their pages, whose lengths must be near enough."""
+    similar of least or more; of equals the first. Titles meet the rows page by page, after one exchange; a task holds
+    the rows of three pages and the titles of two."""
+    order, nth = rows.schema["order"].dataType, titles.schema["nth"].dataType
+    none = lambda kind: F.lit(None).cast(kind)
     exactly = F.col("exact") if "exact" in titles.columns else F.col("title")
-    near = titles.select("doc_id", "nth", "title", exactly.alias("exact"), F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("at"))
-    r = rows.select("doc_id", F.col("page").alias("at"), "order", "first", F.col("text").alias("line"))
-    exact = near.join(r.drop("line").withColumnRenamed("first", "exact"), ["doc_id", "at", "exact"]).groupBy("doc_id", "nth").agg(F.min("order").alias("order"), F.lit(101).alias("ratio"))
-    left = near.join(exact, ["doc_id", "nth"], "left_anti")
-    n, m = F.length("title"), F.length("line")
-    c = left.join(r.drop("first"), ["doc_id", "at"]).where(F.least(n, m) * 200 >= (n + m) * F.lit(least - 0.5))  # an exact bound by lengths
-    c = c.withColumn("ratio", fuzzy_ratio("title", "line")).where(F.col("ratio") >= least)
-    best = c.groupBy("doc_id", "nth").agg(F.max(F.struct("ratio", (-F.col("order")).alias("o"))).alias("b"))
-    return exact.unionByName(best.select("doc_id", "nth", (-F.col("b.o")).cast(rows.schema["order"].dataType).alias("order"), F.col("b.ratio").alias("ratio")))
+    part = lambda page: F.floor(page / PAGES_TOGETHER)
+    page = F.col("page").cast("long")
+    t = titles.select("doc_id", part(page).alias("part"), page.alias("page"), F.lit(False).alias("is_row"), none("long").alias("order"), F.col("title").alias("a"), exactly.alias("b"), "nth")
+    r = rows.select("doc_id", F.explode(F.array_distinct(F.array(part(page - 1), part(page), part(page + 1)))).alias("part"), page.alias("page"), F.lit(True).alias("is_row"), F.col("order").cast("long").alias("order"), F.col("text").alias("a"), F.col("first").alias("b"), none(nth).alias("nth"))
+    both = t.unionByName(r).where("doc_id IS NOT NULL AND page IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pages, asked, out = None, [], [], []
+        nths: list[pa.Array] = []
+
+        def answer(known: list[_Page], waiting: list[tuple]) -> None:
+            for page, title, exact, nth in waiting:
+                near = [p for p in known if abs(p.at - page) <= 1]
+                same = [p.first[exact] for p in near if exact in p.first]
+                got = (101, min(same)) if same else None if title is None else _most_similar(title, near, least)
+                if got:
+                    out.append((key[0], got[1], got[0]))
+                    nths.append(nth)
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+            nth = pa.concat_arrays(nths) if nths else pa.array([], to_arrow_type(nth_type))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], to_arrow_type(doc_type)), nth, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "nth", "order", "ratio"])
+
+        for b in batches:
+            ids = b.column("nth")
+            for i, (doc, part, page, is_row, order, a, c) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "part", "page", "is_row", "order", "a", "b")), strict=True)):
+                if (doc, part) != key:
+                    answer(pages, asked)
+                    key, pages, asked = (doc, part), [], []
+                elif pages and pages[-1].at < page or asked and asked[-1][0] < page:
+                    # titles of the page before the last have now met all rows of their pages
+                    ready = [x for x in asked if x[0] + 1 < page]
+                    if ready:
+                        answer(pages, ready)
+                        asked = [x for x in asked if x[0] + 1 >= page]
+                    pages = [p for p in pages if p.at >= page - 2]
+                if is_row:
+                    if not pages or pages[-1].at != page:
+                        pages.append(_Page(page))
+                    pages[-1].add(order, c, a)
+                else:
+                    asked.append((page, a, c, ids.slice(i, 1)))
+            if out:
+                yield batch()
+                out, nths = [], []
+        answer(pages, asked)
+        yield batch()
+
+    doc_type, nth_type = titles.schema["doc_id"].dataType, nth
+    schema = S.StructType([S.StructField("doc_id", doc_type), S.StructField("nth", nth_type), S.StructField("order", S.LongType()), S.StructField("ratio", S.IntegerType())])
+    got = both.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "page").mapInArrow(run, schema)
+    return got.select("doc_id", "nth", F.col("order").cast(order).alias("order"), "ratio")
 
 
 def match_titles(titles: DataFrame, rows: DataFrame, least: int = 75) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 
 import pandas as pd
 
+from quillon.operators import layout
 from quillon.sources import parsers
 
 
@@ -21,3 +22,42 @@ def test_row_measures_equal_a_frame_and_need_none():
     for _ in range(20_000):  # frames took over a millisecond each
         parsers.row_measures(["key", "a", "b", "c", "d"], [5, 4, 3] * 3)
     assert time.perf_counter() - began < 5
+
+
+def test_similar_lines_are_found_without_comparing_all(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(300):
+        pages = [layout._Page(p) for p in (3, 4, 5)]
+        rows = [(o, rng.choice(pages), "".join(rng.choice("ab c") for _ in range(rng.choice([0, 2, 6, 9, 80])))) for o in range(25)]
+        for order, page, text in rng.sample(rows, len(rows)):
+            page.add(order, text, text)
+        line = rng.choice(rows)[2]
+        title = "".join(c for c in line if rng.random() > 0.1)
+        want = max((layout.ratio(title, x), -o) for o, _, x in rows)
+        assert layout._most_similar(title, pages, 75) == ((want[0], -want[1]) if want[0] >= 75 else None)
+    asked = []
+    monkeypatch.setattr(layout, "ratio", lambda a, b, f=layout.ratio: asked.append(1) or f(a, b))
+    page = layout._Page(0)
+    lines = ["".join(rng.choice("abcdefg ") for _ in range(50 + 3 * k)) for k in range(40)]
+    for k, x in enumerate(lines):
+        page.add(k, x, x)
+    for k, x in enumerate(lines):
+        assert layout._most_similar(x[:30] + x[32:], [page], 75)[1] == k
+    assert len(asked) <= 4 * len(lines)  # all pairs of like lengths, over 800, were compared before
+
+
+def test_common_ends_do_not_change_the_ratio():
+    rng = random.Random(9)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert layout.ratio(a, b) == (round(200 * row[-1] / (len(a) + len(b))) if a or b else 100)
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out
