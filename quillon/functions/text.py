@@ -54,6 +54,18 @@ def normal_lines(md: pd.Series) -> pd.Series:
     return md.map(lambda s: None if s is None else "\n".join(x.strip() if x.isascii() else unicodedata.normalize("NFKD", x.strip()) for x in s.split("\n")))
 
 
+#: Fixed value: what Python's strip() takes for white space.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def with_normal_line(rows: DataFrame, line: str, name: str) -> DataFrame:
+    """normal_lines() for a column of single lines. Only lines beyond ASCII go through Python, so its workers hold a batch
+    of those and never a document."""
+    bare = F.trim(F.col(line), F.lit(BLANKS))
+    rows = rows.withColumn(name, bare).withColumn("_wide", nfkd(F.when(F.octet_length(line) > F.length(line), bare)))
+    return rows.withColumn(name, F.coalesce("_wide", name)).drop("_wide")
+
+
 def is_fence(line: Column) -> Column:
     """A line that opens or closes a code block."""
     return line.startswith("```") & ~F.substring(line, 4, 1 << 30).contains("```")

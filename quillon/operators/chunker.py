@@ -24,8 +24,8 @@ LEVELS = 6
 def lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, line_idx, text, in_code and what kind of line it is."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(md_col).alias("md")).where("md IS NOT NULL")
-    pairs = F.arrays_zip(F.split("md", "\n", -1).alias("raw"), F.split(T.normal_lines("md"), "\n", -1).alias("text"))
-    rows = rows.select("doc_id", F.posexplode(pairs).alias("line_idx", "l")).select("doc_id", "line_idx", "l.raw", "l.text")
+    rows = rows.select("doc_id", F.posexplode(F.split("md", "\n", -1)).alias("line_idx", "raw"))
+    rows = T.with_normal_line(rows, "raw", "text")
     w = Window.partitionBy("doc_id").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
     fences = F.sum(T.is_fence(F.col("raw")).cast("int")).over(w)
     rows = rows.withColumn("in_code", (F.col("raw") == "```") | (fences % 2 == 1))

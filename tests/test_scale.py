@@ -2,10 +2,11 @@
 
 import random
 import time
+import unicodedata
 
 import pandas as pd
 
-from quillon.operators import layout
+from quillon.operators import chunker, layout
 from quillon.sources import parsers
 
 
@@ -61,3 +62,13 @@ def _next(row, x, b):
     for j, y in enumerate(b):
         out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
     return out
+
+
+def test_lines_equal_the_documents_normal_form(spark):
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n")
+    docs = [(1, f"{blanks}é ﬁne{blanks}\n\t plain \x1f\n\n  ¨x\x00 \n# head\x85"), (2, ""), (3, "\n"), (4, "x\r\n\x1c y \n" + "Å" * 3)]
+    want = {(d, i): unicodedata.normalize("NFKD", x.strip()) for d, t in docs for i, x in enumerate(t.split("\n"))}
+    rows = chunker.lines(spark.createDataFrame(docs, "doc_id long, md string"))
+    assert {(r.doc_id, r.line_idx): r.text for r in rows.collect()} == want
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Generate")  # a document was one value for Python before
