@@ -17,6 +17,16 @@ _SPACE = "[\\s\\x1c-\\x1f]"
 LINK = "(?d)\\[?!?\\[(.*?)\\](\\(.*\\)\\])?\\((.*\\..+?)(\\s.*)?\\)"
 
 
+#: Bytes of an Arrow batch of whole documents: a worker holds it several times over, as strings and as results.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose session hands documents to Python by their bytes; by rows alone a batch is as large as its texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{_SPACE}+|{_SPACE}+$(?!\\n)", "")
 

@@ -45,7 +45,7 @@ _WORD = r"[\p{L}\p{N}_]+"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", F.col("text").alias("md"))
+    return T.small_batches(_t(spark, sf, "documents")).select("doc_id", F.col("text").alias("md"))
 
 
 @query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx FROM documents")
@@ -271,7 +271,7 @@ def html_to_md(spark, sf):
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<li><a ')) AS links, regexp_matches(html, '<h1>') AS headed FROM pages""")
 def html_links(spark, sf):
     md = H.html_to_markdown("html")
-    return _t(spark, sf, "pages").select("page_id", F.regexp_count(md, F.lit(r"(?m)^- \[")).cast("long").alias("links"), md.rlike("(?m)^# ").alias("headed"))
+    return T.small_batches(_t(spark, sf, "pages")).select("page_id", F.regexp_count(md, F.lit(r"(?m)^- \[")).cast("long").alias("links"), md.rlike("(?m)^# ").alias("headed"))
 
 
 @query()

@@ -5,7 +5,9 @@ import time
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import functions
 
+from quillon.functions import text
 from quillon.operators import chunker, layout
 from quillon.sources import parsers
 
@@ -72,3 +74,15 @@ def test_lines_equal_the_documents_normal_form(spark):
     assert {(r.doc_id, r.line_idx): r.text for r in rows.collect()} == want
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Generate")  # a document was one value for Python before
+
+
+def test_documents_reach_python_by_their_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for parse in (parsers.parse_html, parsers.parse_envelope, parsers.parse_markdown):
+        spark.conf.unset(key)
+        parse(spark.range(1).selectExpr("id AS doc_id", "'<p>x</p>' AS raw"))
+        assert int(spark.conf.get(key).rstrip("b")) <= text.BATCH_BYTES  # 64 MB before
+    size = functions.pandas_udf("int")(lambda x: pd.Series([len(x)] * len(x)))
+    size.func.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 20000) AS raw")
+    assert max(r.n for r in text.small_batches(docs).select(size("raw").alias("n")).collect()) <= 60
