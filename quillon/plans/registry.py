@@ -289,7 +289,8 @@ _SPANS = r"""sp AS (SELECT doc_id, (i // 40)::INT AS page, i::INT AS "order", 50
 
 
 def synth_spans(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).select("doc_id", F.posexplode(F.split("md", "\n", -1)).alias("i", "text"))
+    d = _docs(spark, sf).repartition("doc_id")  # whole documents travel once; all that follows is by doc_id, or finer
+    d = d.select("doc_id", F.posexplode(F.split("md", "\n", -1)).alias("i", "text"))
     x0 = 50.0 + 10 * (F.col("i") % 3)
     y0 = 20.0 + 14 * (F.col("i") % 40) + F.when(F.col("i") % 40 > 20, 9).otherwise(0)
     size = F.when(F.col("i") % 40 == 0, 18.0).when(F.col("i") % 11 == 5, 14.0).otherwise(10.0)

@@ -1,6 +1,7 @@
 """Steps whose time or memory once grew too fast, with the same results as before."""
 
 import random
+import re
 import time
 import unicodedata
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions
 
 from quillon.functions import text
 from quillon.operators import chunker, layout
+from quillon.plans import registry
 from quillon.sources import parsers
 
 
@@ -86,3 +88,10 @@ def test_documents_reach_python_by_their_bytes(spark):
     size.func.__annotations__ = {"x": pd.Series, "return": pd.Series}
     docs = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 20000) AS raw")
     assert max(r.n for r in text.small_batches(docs).select(size("raw").alias("n")).collect()) <= 60
+
+
+def test_spans_are_dealt_out_by_document_alone(spark):
+    plan = registry.QUERIES["spans_to_markdown"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and all(re.fullmatch(r"doc_id#\d+L?, \d+", x) for x in dealt)  # by page and line as well before
+    assert len(dealt) <= plan.count("Scan parquet") + plan.count("ReusedExchange")  # documents, never their spans
